@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import attach
-from . import attribution, classifier, fertility, fingerprints, licenses, mixing, packing, warc
+from . import attribution, classifier, fertility, fingerprints, licenses, mixing, near_dups, packing, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,12 +43,16 @@ def op8_quality_rules(spark, sf_dir):
     return fertility.quality_report(_read(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark, sf_dir):
+    return near_dups.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     return attribution.count_tokens(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_license_scans, op4_fingerprints, op6_source_mixing, op7_warc, op8_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_license_scans, op4_fingerprints, op6_source_mixing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
