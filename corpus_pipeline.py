@@ -1,5 +1,11 @@
 """The corpus pipeline: stages over documents, each written and read again.
 
+quality_rules     drops documents that the quality rules reject
+near_duplicates   keeps one document, that with the least id, of each class
+substring_dedup   takes repeated passages out of the texts
+source_mixing     samples documents towards the target mix
+best_fit_packing  packs what is left into sequences, one row per piece
+
 ORACLE_SQL is None: neither tokeniser fertility nor signatures can be put in SQL.
 """
 
@@ -9,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanwork.llm import fertility, mixing, packing
+from gleanwork.llm import fertility, mixing, near_dups, packing, substrings
 from gleanwork.llm.common import checkpoint_folder
 from gleanwork.runtime import attach
 
@@ -21,6 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return fertility.keep_good(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    attach(spark)
+    return near_dups.keep_first(docs)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    attach(spark)
+    return substrings.remove_repeats(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     attach(spark)
     return mixing.mix(docs)
@@ -31,7 +47,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality), ("source_mixing", source_mix), ("best_fit_packing", packed)]
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near),
+    ("substring_dedup", substring),
+    ("source_mixing", source_mix),
+    ("best_fit_packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import attach
-from . import attribution, classifier, fertility, fingerprints, licenses, mixing, near_dups, packing, warc
+from . import attribution, classifier, fertility, fingerprints, licenses, mixing, near_dups, packing, substrings, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_fingerprints(spark, sf_dir):
     return fingerprints.edit_probe(_read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substrings.dedup_report(_read(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_license_scans, op4_fingerprints, op6_source_mixing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_license_scans, op4_fingerprints, op5_substring_dedup, op6_source_mixing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
