@@ -1,12 +1,15 @@
-"""Makes this package importable on the executors of a session."""
+"""What every operator needs of a session: the package on executors, checkpoints, ranks."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SENT: set[str] = set()
 
@@ -23,3 +26,53 @@ def attach(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(path))
         _SENT.add(sc.applicationId)
     return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; one of our own only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not folder:
+        current = sc._jsc.sc().getCheckpointDir()
+        folder = current.get() if current.isDefined() else None
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="gleanwork-")
+        atexit.register(shutil.rmtree, folder, True)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once into the shared checkpoint folder; its lineage ends there."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not use yet (Spark compares them without case)."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def global_rank(df: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """Adds the 1-based position of each row in a total order, without one task for all rows.
+
+    Rows are dealt by range and sorted within partitions; the counts of earlier
+    partitions, one number for each, are added to the place within a partition.
+    """
+    at = fresh(df, "_at")
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(at), 33)
+    counts = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, total = {}, 0
+    for k, n in counts:
+        before[k] = total
+        total += n
+    bases = df.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "_part long, _base long")
+    ranked = placed.join(F.broadcast(bases), part == F.col("_part"))
+    return ranked.withColumn(into, F.col("_base") + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_base", at)
