@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, seconds: float = 1.0) -> None:
     """Lets Spark's cleaner delete shuffle files of finished jobs that nothing refers to."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(seconds)  # the cleaner works in a thread of its own
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, keyed, public_id, release
+from .scratch import Scratch
 
 LANES = 4
 ROWS_PER_RANGE = 2_048
@@ -121,9 +122,9 @@ def edit_probe(docs: DataFrame, bits: int = 64, rows_per_range: int = ROWS_PER_R
     An exact fingerprint knows no degrees: likeness is 1.0 where digests and then
     canonical bytes agree, else 0.0. Empty texts have the fingerprint of "".
     """
-    found = cut(buckets(docs, bits))
-    release(docs.sparkSession)
-    collided = found.filter("collided")
+    scratch = Scratch(docs.sparkSession, "fingerprints")
+    collided = scratch.write(buckets(docs, bits).filter("collided").select("digest"), "collided")
+    release(docs.sparkSession)  # the texts that were compared are shuffled again below
     rows = keyed(docs).withColumn("_canon", canonical(F.col("text"))).withColumn("digest", digest(F.col("_canon"), bits)).drop("_canon")
     both = with_next(rows, ["text", "digest"], rows_per_range)
     n = F.char_length("text")
@@ -138,8 +139,9 @@ def edit_probe(docs: DataFrame, bits: int = 64, rows_per_range: int = ROWS_PER_R
     ranks = None
     if not collided.isEmpty():
         both = both.withColumn("canon", canonical(F.col("text")))
-        forms = both.select("digest", "canon").union(both.select("edited_digest", "edited_canon"))
+        forms = both.select("digest", "canon").union(both.select("edited_digest", "edited_canon").toDF("digest", "canon"))
         ranks = cut(_rank(forms, collided))
+    scratch.close()
     both = _suffixed(_suffixed(both, ranks, "digest", "canon", "fingerprint"), ranks, "edited_digest", "edited_canon", "edited_fingerprint")
     return both.select(
         public_id(F.col("kid")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
