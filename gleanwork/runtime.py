@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -46,9 +48,22 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once into the shared checkpoint folder; its lineage ends there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df`, computed once into the shared checkpoint folder; its lineage ends there.
+
+    So does its size estimate: a checkpoint keeps that of its plan, which joins
+    multiply, so loops of joins would soon multiply numbers of millions of digits.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+
+
+def release(spark: SparkSession, seconds: float = 1.0) -> None:
+    """Lets Spark's cleaner delete shuffle files of finished jobs that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(seconds)  # the cleaner works in a thread of its own
 
 
 def fresh(df: DataFrame, name: str) -> str:
