@@ -16,8 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanwork.llm import fertility, mixing, near_dups, packing, substrings
-from gleanwork.llm.common import checkpoint_folder
-from gleanwork.runtime import attach
+from gleanwork.runtime import attach, checkpoint_folder
 
 ORACLE_SQL = None
 

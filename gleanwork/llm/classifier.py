@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, slices, utf8
+from ..runtime import cut
+from .common import batch_of, slices, utf8
 from .textstats import base_counts
 
 N_FEATURES = 384

@@ -1,59 +1,15 @@
-"""Shared plumbing: checkpoints, row keys and Arrow helpers."""
+"""Row keys and Arrow helpers of the operators."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import time
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LONG = (1 << 63) - 1
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that `df` does not use yet (Spark compares them without case)."""
-    used = {c.lower() for c in df.columns}
-    while name.lower() in used:
-        name = "_" + name
-    return name
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not folder:
-        current = sc._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else None
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="gleanwork-")
-        atexit.register(shutil.rmtree, folder, True)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once into the shared checkpoint folder; its lineage ends there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession, seconds: float = 1.0) -> None:
-    """Lets Spark's cleaner delete shuffle files of finished jobs that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(seconds)  # the cleaner works in a thread of its own
-
-
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(kid, tid, text): a null text is empty; a null id sorts after every other.
 

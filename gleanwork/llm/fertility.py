@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, fresh, slices, texts_of, utf8
+from ..runtime import fresh
+from .common import batch_of, slices, texts_of, utf8
 from .textstats import base_counts
 from .vocabularies import byte_vocabulary, piece_vocabulary, vocabulary_path
 

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, public_id, release
+from ..runtime import cut, release
+from .common import keyed, public_id
 from .scratch import Scratch
 
 LANES = 4
@@ -120,7 +121,8 @@ def edit_probe(docs: DataFrame, bits: int = 64, rows_per_range: int = ROWS_PER_R
     """Fingerprints of each text and of its edited text; likeness is 1 for equal, else 0.
 
     An exact fingerprint knows no degrees: likeness is 1.0 where digests and then
-    canonical bytes agree, else 0.0. Empty texts have the fingerprint of "".
+    canonical bytes agree, else 0.0. Empty texts have the fingerprint of "". Digests
+    are ranked where texts of the table collide; edited texts follow those ranks.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     collided = scratch.write(buckets(docs, bits).filter("collided").select("digest"), "collided")

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, slices, utf8
+from ..runtime import cut, fresh
+from .common import slices, utf8
 from .textkit import split_words, sums, text_of_word, word_hashes
 
 TOPIC_BITS = 3

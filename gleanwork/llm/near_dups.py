@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, fresh, keyed, public_id, release, slices, utf8
+from ..runtime import cut, fresh, release
+from .common import batch_of, keyed, public_id, slices, utf8
 from .components import components
 from .scratch import Scratch
 from .textkit import inside, mix, split_words, text_of_word, window_hashes, word_hashes

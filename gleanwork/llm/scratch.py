@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import checkpoint_folder
+from ..runtime import checkpoint_folder
 
 
 class Scratch:

@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut
+from ..runtime import cut
+from .common import batch_of
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
