@@ -16,18 +16,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the edges (a, b); a component is its least node.
 
     Every step only moves edges towards smaller nodes, within executors; each
-    round is cut into the checkpoint folder. A hub's edges meet its minimum in a
-    join that Spark may split. Loops and repeated edges make no difference.
+    round is cut into the checkpoint folder. Minima are cut too, so that their join
+    with a hub's edges is one of two exchanges, which Spark splits where it is
+    skewed. Loops and repeated edges make no difference.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = _state(edges)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a hub that is its own minimum keeps its edges; others hand theirs on
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large.filter("a <> b").distinct())
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = cut(small.filter("a <> b").distinct())
         before, state = state, _state(edges)

@@ -30,7 +30,7 @@ EXPONENTS = {"source": 0.7, "lang": 0.85, "topic": 0.85}
 KEEP_SHARE = 0.8
 #: Cells that the driver rakes in memory; more are raked by the executors.
 MAX_CELLS = 100_000
-ROUNDS, TOLERANCE = 100, 1e-9
+ROUNDS, TOLERANCE = 40, 1e-9
 SEED = 11
 
 
@@ -116,26 +116,26 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, keep_share: float = KE
     return np.where(tokens > 0, np.minimum(1, high * factor), 1.0)
 
 
-def rake_on_executors(cells: DataFrame, targets: dict[str, dict[str, float]] | dict[str, float], rounds: int = 20) -> DataFrame:
+def rake_on_executors(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
     """The same raking by aggregations, for more cells than a driver should hold.
 
-    `targets`: exponents by dimension. Adds the column weight.
+    `exponents`: of the targets, by dimension. Adds the column weight.
     """
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
     total = cells.agg(F.sum("weight")).first()[0] or 0.0
     wanted = {}
-    for dim, exponent in targets.items():
+    for dim, exponent in exponents.items():
         share = cells.groupBy(dim).agg(F.sum("weight").alias("w")).filter("w > 0").withColumn("p", F.pow(F.col("w") / total, F.lit(exponent)))
         wanted[dim] = cut(share.join(F.broadcast(share.agg(F.sum("p").alias("all"))), how="cross").select(dim, (F.col("p") / F.col("all") * total).alias("goal")))
     for _ in range(rounds):
-        for dim in targets:
+        for dim in exponents:
             now = cells.groupBy(dim).agg(F.sum("weight").alias("now")).join(wanted[dim], dim).select(dim, (F.col("goal") / F.col("now")).alias("f"))
             cells = cells.join(now, dim, "left").withColumn("weight", F.col("weight") * F.coalesce("f", F.lit(1.0))).drop("f")
         cells = cut(cells)
     return cells
 
 
-def cell_probabilities(found: DataFrame, names: dict[str, str], exponents: dict[str, float] | None = None, keep_share: float = KEEP_SHARE, max_cells: int = MAX_CELLS) -> DataFrame:
+def cell_probabilities(found: DataFrame, names: dict[str, str], exponents: dict[str, float] | None = None, keep_share: float = KEEP_SHARE, max_cells: int = MAX_CELLS, rounds: int = ROUNDS) -> DataFrame:
     """(source, lang, topic, weight, probability) of every cell."""
     exponents = exponents or EXPONENTS
     dims = list(exponents)
@@ -146,11 +146,11 @@ def cell_probabilities(found: DataFrame, names: dict[str, str], exponents: dict[
         here = cells.orderBy(*dims).toPandas()
         total = max(1, here["tokens"].sum())
         targets = {d: targets_of((here.groupby(d)["tokens"].sum() / total).to_dict(), exponents[d]) for d in dims}
-        here["weight"] = rake(here, targets)
+        here["weight"] = rake(here, targets, rounds)
         here["probability"] = probabilities(here["tokens"].to_numpy(float), here["weight"].to_numpy(), keep_share)
         rows = [tuple(r) for r in here[[*dims, "tokens", "weight", "probability"]].itertuples(index=False)]
         return spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", tokens long, weight double, probability double").hint("broadcast")
-    cells = rake_on_executors(cells, exponents)
+    cells = rake_on_executors(cells, exponents, rounds)
     some = cells.filter("tokens > 0")
     goal = keep_share * (some.agg(F.sum("tokens")).first()[0] or 0)
     expected = lambda s: some.agg(F.sum(F.least(F.lit(1.0) * F.col("tokens"), s * F.col("weight")))).first()[0] or 0.0

@@ -233,7 +233,7 @@ def find_links(bands: DataFrame, payload: DataFrame, similarity: float, block: i
 
     bands: (band, node) of buckets with several nodes; payload: (node, payload).
     """
-    leaders = bands.groupBy("band").agg(F.min("node").alias("leader"))
+    leaders = cut(bands.groupBy("band").agg(F.min("node").alias("leader")))
     first = bands.join(leaders, "band").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = first.join(payload.select(F.col("node").alias("b"), F.col("payload").alias("pb")), "b").join(payload.select(F.col("node").alias("a"), F.col("payload").alias("pa")), "a")
     links = cut(verify(first, similarity))
