@@ -56,15 +56,16 @@ def script(text: str) -> str:
     return best if n[best] else "other"
 
 
-def fertility(text: str, vocabulary, pieces, is_byte) -> tuple[int, float, float, float]:
-    """Tokens, characters per token, byte-fallback share, and entropy as a share of its most."""
+def fertility(text: str, vocabulary, pieces) -> tuple[int, float, float, float]:
+    """Tokens, characters per token, byte-fallback share of the bytes, and entropy as a share of its most."""
     ids = vocabulary.ids(text)
     if not len(ids):
         return 0, 0.0, 0.0, 0.0
     p = np.unique(ids, return_counts=True)[1] / len(ids)
     entropy = float(-(p * np.log2(p)).sum()) / np.log2(len(ids)) if len(ids) > 1 else 1.0
-    other = np.array(pieces.encode(text, num_threads=1), dtype=np.int64)
-    return len(ids), len(text) / len(ids), float(is_byte[other].mean()) if len(other) else 0.0, entropy
+    of_bytes = pieces.fallback_bytes(text)
+    share = of_bytes / len("".join(text.split()).encode()) if of_bytes else 0.0
+    return len(ids), len(text) / len(ids), share, entropy
 
 
 def annotate(docs: DataFrame, into: str, text_col: str = "text", lang_col: str = "lang", byte_path: str | None = None, ranks_path: str | None = None, piece_path: str | None = None, bands: dict | None = None) -> DataFrame:
@@ -77,7 +78,7 @@ def annotate(docs: DataFrame, into: str, text_col: str = "text", lang_col: str =
     lang_at = docs.columns.index(lang_col) if lang_col in docs.columns else None
 
     def judge(column: pa.Array, langs: list) -> pa.Array:
-        vocabulary, (pieces, is_byte) = byte_vocabulary(byte_path, ranks_path), piece_vocabulary(piece_path)
+        vocabulary, pieces = byte_vocabulary(byte_path, ranks_path), piece_vocabulary(piece_path)
         data, offsets = utf8(column)
         counts: dict[str, list] = {f.name: [] for f in STATS}
         for lo, hi in slices(offsets):
@@ -90,7 +91,7 @@ def annotate(docs: DataFrame, into: str, text_col: str = "text", lang_col: str =
             rows = []
             for text, lang, bad in zip(texts_of(column.slice(lo, hi - lo)), langs[lo:hi], failed, strict=True):
                 band = lang if lang in bands else script(text)
-                tokens, chars, fallback, entropy = fertility(text, vocabulary, pieces, is_byte)
+                tokens, chars, fallback, entropy = fertility(text, vocabulary, pieces)
                 least, most, bytes_most, entropy_least = bands[band]
                 rows.append((not bad and least <= chars <= most and fallback <= bytes_most and entropy >= entropy_least, tokens, chars, fallback, entropy, band))
             for k, values in zip(("kept", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "band"), zip(*rows, strict=True), strict=True):

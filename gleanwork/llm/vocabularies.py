@@ -45,7 +45,7 @@ class ByteVocabulary:
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast and len(text) <= _CHUNK and _PLAIN.fullmatch(text):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -54,10 +54,25 @@ def byte_vocabulary(json_path: str, ranks_path: str | None) -> ByteVocabulary:
     return ByteVocabulary(json_path, ranks_path)
 
 
-@functools.lru_cache(maxsize=2)
-def piece_vocabulary(path: str):
-    """The sentencepiece model, and for each id whether it is a byte."""
-    import sentencepiece
+class PieceVocabulary:
+    """What a sentencepiece model with byte fallback can only spell byte by byte.
+
+    Its merges start from single characters, and one that is no piece becomes its
+    UTF-8 bytes. So the characters of the vocabulary tell, without segmenting a text.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        known = sorted(p for i in range(model.vocab_size()) if len(p := model.IdToPiece(i)) == 1)
+        self.unknown = re.compile(rf"[^\s{re.escape(''.join(known))}]+")
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return model, np.array([model.IsByte(i) for i in range(model.vocab_size())])
+    def fallback_bytes(self, text: str) -> int:
+        """Bytes of words that become byte tokens."""
+        return sum(len(x.encode()) for x in self.unknown.findall(text))
+
+
+@functools.lru_cache(maxsize=2)
+def piece_vocabulary(path: str) -> PieceVocabulary:
+    return PieceVocabulary(path)
