@@ -25,10 +25,11 @@ def fetched(candidates: DataFrame, payloads: DataFrame, config: CurationConfig)
 def mark_copies(rows: DataFrame, ledger: DataFrame, ignore_errors: bool = False) -> DataFrame:
     """Adds is_copy: the hash is recorded, or an earlier row of the run has it."""
     past = ledger.filter("not (category <=> 'discard' and model_name <=> 'classify_error')") if ignore_errors else ledger
-    past = past.filter("sha256 is not null").select("sha256").distinct().withColumn("_past", F.lit(True))
-    first = rows.groupBy("sha256").agg(F.min("discovery_rank").alias("_first"))
-    joined = rows.join(first, "sha256", "left").join(past, "sha256", "left")
-    return joined.withColumn("is_copy", F.coalesce("_past", F.lit(False)) | (F.col("discovery_rank") > F.col("_first"))).drop("_past", "_first")
+    past = past.filter("sha256 is not null").select("sha256").distinct()
+    new = rows.groupBy("sha256").agg(F.min("discovery_rank").alias("discovery_rank")).join(past, "sha256", "left_anti")
+    # hashes meet once each and rows by their rank, so a hot hash is no hot task
+    joined = rows.join(new.select("discovery_rank", F.lit(True).alias("_new")), "discovery_rank", "left")
+    return joined.withColumn("is_copy", F.col("_new").isNull()).drop("_new")
 
 
 def safety_gate(label: Column, flagged: Column) -> Column:
