@@ -198,8 +198,8 @@ def repeats(rows: DataFrame, batches: int = BATCHES, max_runs: int = MAX_RUNS) -
     spark = rows.sparkSession
     scratch = Scratch(spark, "substrings")
     printed = scratch.write(fingerprint(rows), "printed")
-    copies = printed.filter(F.col("n_words") >= WINDOW).groupBy("copy_a", "copy_b").agg(F.min("kid").alias("least"))
-    copies = printed.filter(F.col("n_words") >= WINDOW).select("kid", "rid", "copy_a", "copy_b").join(copies, ["copy_a", "copy_b"]).filter("kid > least").select("rid").distinct()
+    firsts = scratch.write(printed.filter(F.col("n_words") >= WINDOW).groupBy("copy_a", "copy_b").agg(F.min("kid").alias("least"), F.max("kid").alias("most")).filter("least < most").drop("most"), "firsts")
+    copies = printed.filter(F.col("n_words") >= WINDOW).select("kid", "rid", "copy_a", "copy_b").join(firsts, ["copy_a", "copy_b"]).filter("kid > least").select("rid").distinct()
     copies = scratch.write(copies, "copies")
     # later copies are settled, so they neither bring nor need windows
     rest = scratch.write(printed.filter(F.size("anchors") > 0).join(copies, "rid", "left_anti").select("kid", "rid", "anchors"), "rest")
@@ -215,7 +215,9 @@ def repeats(rows: DataFrame, batches: int = BATCHES, max_runs: int = MAX_RUNS) -
     release(spark)
     every = scratch.write(windows(rows.join(keys.hint("shuffle_hash"), "rid")), "windows")
     release(spark)
-    least = every.groupBy("wa", "wb").agg(F.min("kid").alias("least"), F.max("kid").alias("most")).filter("least < most").drop("most")
+    # written, so that the join below meets two exchanges and Spark can split a hot window
+    least = scratch.write(every.groupBy("wa", "wb").agg(F.min("kid").alias("least"), F.max("kid").alias("most")).filter("least < most").drop("most"), "least")
+    release(spark)
     later = every.join(least, ["wa", "wb"]).filter("kid > least")
     out = later.groupBy("rid").agg(F.collect_set("pos").alias("starts")).withColumn("all_words", F.lit(False))
     out = cut(out.unionByName(copies.select("rid", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("all_words"))))
