@@ -280,7 +280,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     labels = components(find_links(buckets, payload, similarity, block))
     members = nodes.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
     # a text without words has one node for all, but is alone in its class
-    classes = members.groupBy("class").agg(F.min("first").alias("least"))
+    classes = cut(members.groupBy("class").agg(F.min("first").alias("least")))
     named = cut(members.join(classes, "class").select("node", "least"))
     out = signed.select("kid", "tid", "node", (F.size("bands") == 0).alias("bare")).join(named, "node")
     out = cut(out.select("kid", "tid", *[F.when(F.col("bare"), F.col(c)).otherwise(F.col(f"least.{c}")).alias(f"class_{c}") for c in ("kid", "tid")]))
