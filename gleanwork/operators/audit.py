@@ -30,6 +30,23 @@ def metric_flags(t: AuditThresholds) -> Column:
     return F.when(missing, F.array(F.lit("metrics_missing"))).otherwise(found)
 
 
+def gate_reason(t: AuditThresholds, truncated: Column | None = None, truncated_factor: float = 1.5) -> Column:
+    """Why an image would be discarded before classification, or null.
+
+    The gates of single bounds, in order; a truncated image needs its texture and
+    entropy above the bounds by a factor.
+    """
+    below = lambda name, bound: F.coalesce(F.col(name) < bound, F.lit(False))
+    out = F.when(below("luma_stddev", t.min_luma_stddev) & below("sat_stddev", t.min_sat_stddev), "low_variance")
+    out = out.when(below("sat_mean", t.min_sat_mean) & below("sat_stddev", t.min_sat_stddev), "low_saturation")
+    out = out.when(below("colorfulness", t.min_colorfulness) & below("sat_stddev", t.min_sat_stddev), "low_color")
+    out = out.when(F.coalesce(F.col("flat_ratio") >= t.flat_tile_ratio, F.lit(False)), "flat_ratio")
+    if truncated is not None:
+        weak = below("laplacian_var", t.min_laplacian_var * truncated_factor) | below("edge_density", t.min_edge_density * truncated_factor) | below("entropy", t.min_entropy * truncated_factor)
+        out = out.when(truncated & weak, "truncated_low_quality")
+    return out
+
+
 def with_flags(items: DataFrame, thresholds: AuditThresholds) -> DataFrame:
     return items.withColumn("flags", metric_flags(thresholds)).withColumn("flagged", F.size("flags") > 0)
 

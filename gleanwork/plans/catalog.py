@@ -386,3 +386,68 @@ def audit_sample20(read):
     verdicts = read("labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("filepath"), F.struct(F.lit("GRAY").alias("quality"), F.lit(None).cast("boolean").alias("is_gray"), F.lit("").alias("reason")).alias("llm"))
     sample = audit.flagged_or_all(audit.with_auditor(items, verdicts)).orderBy(F.desc("doc_id")).limit(20)
     return sample.select("doc_id", text.join_flags(F.col("flags")).alias("flags"))
+
+
+@query(f"""
+WITH w AS (SELECT sha256(text) AS sha, min(doc_id) AS doc_id FROM documents GROUP BY 1), d AS (SELECT doc_id, lang, source, sha FROM w JOIN documents USING (doc_id))
+SELECT doc_id, concat('out/', lang, '/', left(sha, 12), '_', {_SLUG.format("concat(source, '_', doc_id % 3)")}, CASE doc_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' ELSE '.bin' END) AS filepath FROM d
+""")
+def file_names(read):
+    hashed = read("documents").select("doc_id", "lang", "source", hashing.sha256_hex(F.col("text")).alias("sha256"))
+    first = hashed.groupBy("sha256").agg(F.min(F.struct("doc_id", "lang", "source")).alias("f")).select("sha256", "f.*")
+    ext = F.when(F.col("doc_id") % 4 == 0, ".JPG?x").when(F.col("doc_id") % 4 == 1, ".png").otherwise("")
+    rows = first.select("doc_id", F.concat(F.lit("http://h/"), "source", F.lit("_"), (F.col("doc_id") % 3).cast("string"), ext).alias("url"), "sha256", F.lit("application/octet-stream").alias("content_type"), F.col("lang").alias("category"), F.col("doc_id").alias("discovery_rank"))
+    return ledger.file_paths(rows, F.lit("out")).select("doc_id", "filepath")
+
+
+@query("""
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' ELSE 'image/jpeg' END AS mime FROM pages
+""")
+def mime_sniff(read):
+    i = F.col("page_id") % 5
+    head = F.when(i == 0, "FFD8FF").when(i == 1, "89504E470D").when(i == 2, "474946383961").when(i == 3, "524946460000000057454250").otherwise("")
+    return read("pages").select("page_id", media.sniff_mime(F.unhex(F.concat(head, F.hex("html")))).alias("mime"))
+
+
+_ERRORS = """CASE user_id % 6 WHEN 0 THEN '{"error": {"message": "Cannot decode image"}}' WHEN 1 THEN '{"error": {"message": "image input is not supported"}}' WHEN 2 THEN '{"error": "x"} bad response_format '
+  WHEN 3 THEN ' schema UNSUPPORTED ' WHEN 4 THEN '{"error": {"code": 5}}' ELSE 'try later' END"""
+
+
+@query("""
+SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'decode' WHEN 1 THEN 'no_vision' WHEN 2 THEN 'schema_unsupported' WHEN 3 THEN 'schema_unsupported' ELSE 'other' END AS kind FROM events
+""")
+def error_classes(read):
+    return read("events").select("event_id", verdict.error_class(verdict.error_message(F.expr(_ERRORS))).alias("kind"))
+
+
+@query("""
+WITH i AS (SELECT n_chars < 500 OR toxic = 1 AS flagged, labels.doc_id IS NOT NULL AS audited, toxic = 1 AS bad FROM documents LEFT JOIN labels USING (doc_id))
+SELECT count(*) AS total, count(*) FILTER (WHERE flagged) AS flagged, count(*) FILTER (WHERE audited) AS audited, count(*) FILTER (WHERE bad) AS bad FROM i
+""")
+def audit_totals(read):
+    items = read("documents").select(F.col("doc_id").cast("string").alias("filepath"), (F.col("n_chars") < 500).alias("flagged"), F.array().cast("array<string>").alias("flags"))
+    said = F.struct(F.when(F.col("toxic") == 1, "low").otherwise("good").alias("quality"), F.lit(False).alias("is_gray"), F.lit("").alias("reason"))
+    verdicts = read("labels").select(F.col("doc_id").cast("string").alias("filepath"), said.alias("llm"))
+    return audit.audit_totals(audit.with_auditor(items, verdicts)).select("total", "flagged", "audited", "bad")
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(lower(url), '[/_.-](thumbs?|thumbnail|preview|avatar|icons?)[/_.-]|[?&](w|h|width|height|size)=[0-9]{1,3}(&|$)') OR page_id % 10 = 0")
+def thumbnail_urls(read):
+    spelled = F.when(F.col("page_id") % 10 == 0, F.concat("url", F.lit("/thumb/x.png"))).otherwise(F.col("url"))
+    return read("pages").filter(url.url_looks_like_thumbnail(spelled)).select("page_id")
+
+
+@query(f"SELECT count(*) AS n_hashes FROM (SELECT DISTINCT {_BITS} AS hash FROM embeddings)")
+def phash_scan(read):
+    hashes = read("embeddings").select(_sign_bits(F.col("embedding")).alias("hash"))
+    return hashes.distinct().agg(F.count("*").alias("n_hashes"))
+
+
+def _greedy(read):
+    """No SQL: the scan in rank order is sequential. A test holds it against one."""
+    items = read("embeddings").select(F.col("vec_id").alias("rank"), _sign_bits(F.col("embedding")).alias("hash"))
+    return similarity.greedy_keep(items, 6).select(F.col("rank").alias("vec_id"))
+
+
+_greedy.__name__ = "greedy_near_hashes"
+query()(_greedy)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import CurationConfig
@@ -22,6 +22,11 @@ class Run:
         return decide.run_counters(self.found, self.decisions)
 
 
+def watched(decisions: DataFrame, into: Observation) -> DataFrame:
+    """decisions, whose counts arrive in `into` while whatever reads them runs; no pass of its own."""
+    return decisions.observe(into, F.count("*").alias("downloaded"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("discarded"))
+
+
 def curate(hits: DataFrame, payloads: DataFrame, verdicts: DataFrame | None, past: DataFrame, config: CurationConfig) -> Run:
     """Decides on hits without writing. Decisions are computed once, as several sinks read them."""
     found = discovery.discover(hits, past, config)

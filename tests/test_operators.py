@@ -216,3 +216,39 @@ def test_config(tmp_path):
     config = load_config(str(tmp_path / "c.yaml"), {"GLEANWORK_API_KEY": "k"})
     assert (config.limit, config.search_queries, config.audit.min_entropy, config.api_key, config.url_cap) == (3, ("a", "b"), 1.5, "k", 6)
     assert load_config(None, {}).limit == 20
+
+
+def test_command_line(spark, tmp_path):
+    from gleanwork.cli import main
+
+    hits, payloads, verdicts = inputs(spark, {"http://h/a.jpg": b"1", "http://h/b.jpg": b"2"}, {"http://h/a.jpg": VALID})
+    for name, df in (("hits.parquet", hits), ("payloads.parquet", payloads), ("verdicts.parquet", verdicts)):
+        df.write.parquet(str(tmp_path / name))
+    (tmp_path / "c.yaml").write_text(f"min_bytes: 1\nlog_dir: {tmp_path}/logs\n")
+    base = ["--config", str(tmp_path / "c.yaml")]
+    out = ["--out", str(tmp_path / "out")]
+    run = [*base, "run", *out, "--hits", str(tmp_path / "hits.parquet"), "--payloads", str(tmp_path / "payloads.parquet"), "--verdicts", str(tmp_path / "verdicts.parquet"), "--limit", "1"]
+    assert main(run, spark) == ["urls_found=2 downloaded=2 classified=1 kept=1 discarded=1"]
+    assert main(run, spark) == ["urls_found=0 downloaded=0 classified=0 kept=0 discarded=0"]
+    assert main([*base, "stats", *out], spark) == ["Total records: 2", "discard: 1", "photo: 1"]
+    assert "- Kept: 1 (50.0%)" in main([*base, "report", *out], spark)
+    assert json.loads((tmp_path / "out/manifest.json").read_text())["count"] == 2
+    with pytest.raises(SystemExit):
+        main([*base, "run", *out, "--hits", "x", "--payloads", "y"], spark)
+
+
+def test_observed_counts(spark):
+    from pyspark.sql import Observation
+
+    from gleanwork.plans.curate import watched
+
+    seen = Observation()
+    watched(spark.createDataFrame([(True,), (False,), (True,)], "kept boolean"), seen).collect()
+    assert seen.get == {"downloaded": 3, "kept": 2, "discarded": 1}
+
+
+def test_gates(spark):
+    schema = "luma_stddev double, sat_stddev double, sat_mean double, colorfulness double, flat_ratio double, laplacian_var double, edge_density double, entropy double, cut boolean"
+    rows = [(1.0, 1.0, 90.0, 90.0, 0.0, 99.0, 1.0, 7.0, False), (9.0, 1.0, 1.0, 90.0, 0.0, 99.0, 1.0, 7.0, False), (9.0, 1.0, 90.0, 1.0, 0.0, 99.0, 1.0, 7.0, False), (9.0, 9.0, 9.0, 9.0, 0.9, 99.0, 1.0, 7.0, False), (9.0, 9.0, 9.0, 9.0, 0.0, 13.0, 1.0, 7.0, True), (9.0, 9.0, 9.0, 9.0, 0.0, 13.0, 1.0, 7.0, False)]
+    got = spark.createDataFrame(rows, schema).select(audit.gate_reason(AuditThresholds(), F.col("cut")).alias("r")).collect()
+    assert [r["r"] for r in got] == ["low_variance", "low_saturation", "low_color", "flat_ratio", "truncated_low_quality", None]
