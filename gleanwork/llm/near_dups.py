@@ -243,14 +243,24 @@ def find_links(bands: DataFrame, payload: DataFrame, similarity: float, block: i
     labels = components(links)
     labelled = bands.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
     rest = labelled.join(leaders, "band").filter("node <> leader").drop("leader")
-    mixed = rest.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).filter("lo <> hi")
-    once = mixed.groupBy("n", "members").agg(F.min("band").alias("band"))  # equal buckets are compared once
-    rest = rest.join(once.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "band")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # block i meets each block j >= i: a node of block b takes part in (b, j) and (i, b)
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
-    dealt = rest.withColumn("mine", mine).withColumn("meets", meets).select("band", "node", "comp", "mine", F.explode("meets").alias("at"))
-    dealt = dealt.select("band", "node", "comp", F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.when(F.col("mine") == F.col("at.i"), 0).otherwise(1).alias("side"))
+    sizes = rest.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
+    mixed = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum("members").alias("members"), F.max(F.struct("n", "comp")).alias("main")).filter("n > main.n")
+    once = mixed.groupBy("n", "members").agg(F.min(F.struct("band", "main")).alias("b"))  # equal buckets are compared once
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    plan = cut(once.select("b.band", F.col("b.main.comp").alias("main"), blocks(F.col("b.main.n")).alias("mains"), blocks(F.col("n") - F.col("b.main.n")).alias("others")))
+    # blocks of the largest component meet the other texts' blocks, and those each other;
+    # texts of the largest component don't meet, so a big group costs no pairs of its own
+    placed = rest.join(plan, "band").withColumn("of_main", F.col("comp") == F.col("main"))
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    mine = F.col("mine")
+    as_main = F.transform(upto("others"), lambda o: pair("main", mine, o, F.lit(0)))
+    as_other = F.concat(
+        F.transform(upto("mains"), lambda m: pair("main", m, mine, F.lit(1))),
+        F.transform(upto("others"), lambda o: pair("other", F.least(o, mine), F.greatest(o, mine), F.when(mine <= o, 0).otherwise(1))),
+    )
+    dealt = placed.select("band", "node", "comp", F.explode(F.when(F.col("of_main"), as_main).otherwise(as_other)).alias("at")).select("band", "node", "comp", "at.*")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["comp"].nunique() < 2:
@@ -258,7 +268,7 @@ def find_links(bands: DataFrame, payload: DataFrame, similarity: float, block: i
         found = links_between(list(map(bytes, pdf["node"])), list(map(bytes, pdf["comp"])), pdf["side"].tolist(), [unpack_elements(p) for p in pdf["payload"]], similarity)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    more = dealt.join(payload, "node").groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary")
+    more = dealt.join(payload, "node").groupBy("band", "kind", "i", "j").applyInPandas(compare, "a binary, b binary")
     return links.union(cut(more))
 
 
