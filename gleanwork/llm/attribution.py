@@ -6,7 +6,8 @@ crosses a boundary goes to the section that holds most of its code points, the
 earliest of several; a code point belongs to the token that holds its first byte.
 A token without such a byte goes to the section of its own first byte.
 
-Null texts are empty: no section, no token. Repeated rows repeat results.
+Null texts are empty: no section, no token. Repeated rows repeat results. An empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

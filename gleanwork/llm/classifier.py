@@ -9,7 +9,8 @@ use give the isotonic map from margin to probability.
 
 Null texts are empty texts, which get a score like any other. Labels of ids
 without documents, null labels and null ids count for nothing; of a repeated id
-each row counts. Without any usable label every score is 0.5.
+each row counts. Without any usable label every score is 0.5. Equal texts have
+equal scores. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,7 +1,9 @@
 """Quality rules: counts over words and lines, then tokeniser fertility by language.
 
 Null texts are empty (no words: base_failed, not kept). Each row is judged
-alone, so repeated rows repeat results. Nothing of a text is left out.
+alone, so repeated rows repeat results. Nothing of a text is left out. An empty
+table gives no rows. A null or unknown language is judged by script. The report
+ignores other columns; keep_good() returns them untouched.
 """
 
 from __future__ import annotations

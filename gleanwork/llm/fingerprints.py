@@ -7,7 +7,8 @@ canonical forms that differ byte for byte, they get the digest and a rank, so
 fingerprints are equal exactly where canonical forms are.
 
 Null texts are empty texts. A null id counts as the largest id. Rows may repeat;
-of equal ids the order is that of a hash of the text. Other columns are ignored.
+of equal ids the order is that of a hash of the text. An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations

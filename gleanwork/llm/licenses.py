@@ -1,7 +1,8 @@
 """Licence scans: phrases by Aho-Corasick, SPDX expressions by a shunting-yard parser.
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z became a-z. Null
-texts are empty. Every row is scanned alone, so repeated rows repeat results.
+texts are empty. Every row is scanned alone, so repeated rows repeat results. An
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ the expected tokens meet a budget; a hash of its id decides, so a run repeats.
 Tokens are words. A topic is three majority bits over the hashes of a text's
 words of five bytes or more, unless a topic column is given. Nulls in source,
 language or topic are a category of their own; null texts are empty. Rows with
-equal ids share one fate within a cell.
+equal ids share one fate within a cell. Documents without words are kept. An empty
+table gives no rows. Columns of any name pass through mix() untouched.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ the least text of its bucket. Buckets in which texts of several components remai
 are then verified in blocks, pair by pair between components only.
 
 Null texts are empty. A document without words is a class of its own. A null id
-is the largest id. Repeated rows fall into one class.
+is the largest id. Repeated rows fall into one class. An empty table gives no
+rows. near_duplicates() ignores other columns; keep_first() returns them untouched.
 """
 
 from __future__ import annotations

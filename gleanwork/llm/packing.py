@@ -8,7 +8,9 @@ capacity alone. Which piece takes which place follows from its rank among the
 pieces of its length.
 
 Null texts are empty; every document ends with the end token, so none has no
-piece. Repeated rows are packed as often as they occur.
+piece. Repeated rows are packed as often as they occur. Pieces of one length that
+tie may swap places; the number of sequences is the same. An empty table gives no
+rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

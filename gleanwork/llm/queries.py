@@ -19,7 +19,7 @@ def op1_best_fit_packing(spark, sf_dir):
 
 def op2_quality_classifier(spark, sf_dir):
     scores = classifier.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), classifier.may_train(F.col("doc_id")))
-    return scores.select("doc_id", (~classifier.may_train(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+    return scores.select("doc_id", F.coalesce(~classifier.may_train(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_license_scans(spark, sf_dir):

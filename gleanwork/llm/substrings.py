@@ -15,7 +15,8 @@ compacted into one.
 
 Documents of equal words are compared by the digest of all their words, and
 beyond the first only counted. Null texts have no words. A null id is the largest
-id. Rows that repeat an id don't remove each other's words.
+id. Rows that repeat an id don't remove each other's words. An empty table gives
+no rows. The report ignores other columns; remove_repeats() returns them untouched.
 """
 
 from __future__ import annotations
