@@ -59,5 +59,27 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_license_scans, op4_fingerprints, op5_substring_dedup, op6_source_mixing, op7_warc, op8_quality_rules, op9_near_duplicates, op10_token_counts)}
 
 
+OP5_SQL = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM split, unnest(range(1, len(ws) - 11)) t(i)),
+least AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM windows JOIN least USING (k), range(13) r(o) WHERE m < doc_id),
+words AS (SELECT doc_id, p, ws[p] AS w FROM split, unnest(range(1, len(ws) + 1)) t(p)),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS left_over FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM split LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT page_id, body, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS own FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((((instr('0123456789abcdef', substr(h, 1 + 5 * k // 4, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, 2 + 5 * k // 4, 1)) - 1) >> (3 - 5 * k % 4)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> own THEN own END AS refers_to FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need tokenizers, trained models, ICU or graph searches; tests hold them against plain versions."""
+    return {"op5_substring_dedup": OP5_SQL, "op7_warc": OP7_SQL}
