@@ -14,7 +14,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # Texts of these characters alone are cut alike by both byte-level libraries;
 # any other text goes through the tokenizers library itself.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
-_CHUNK = 200_000
+#: Longer texts are encoded in parts. A word always starts at a space between two
+#: letters, so cutting there leaves every token as it is.
+_PART = 200_000
+_BREAK = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
 
 def vocabulary_path(name: str) -> str:
@@ -44,7 +47,14 @@ class ByteVocabulary:
                 self.widths[rank] = len(token)
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast and len(text) <= _CHUNK and _PLAIN.fullmatch(text):
+        if len(text) > _PART and (cut := _BREAK.search(text, _PART)):
+            parts, at = [], 0
+            while cut:
+                parts.append(self.ids(text[at : cut.start()]))
+                at = cut.start()
+                cut = _BREAK.search(text, at + _PART)
+            return np.concatenate([*parts, self.ids(text[at:])])
+        if self.fast and len(text) <= 2 * _PART and _PLAIN.fullmatch(text):
             return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 

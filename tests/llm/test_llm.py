@@ -352,6 +352,15 @@ def test_plain_texts_encode_alike(exact, rows):
         assert vocabulary.ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_encode_alike_in_parts(exact, monkeypatch):
+    vocabulary = vocabularies.byte_vocabulary(vocabularies.vocabulary_path("byte_bpe_50k.json"), vocabularies.vocabulary_path("byte_bpe_50k.tiktoken"))
+    monkeypatch.setattr(vocabularies, "_PART", 50)
+    rng = random.Random(4)
+    for _ in range(100):
+        text = "".join(rng.choices(["the", "Ü", " ", "  ", "\n", "'s", "ab cd", "1 2", "日本", "."], k=400))
+        assert vocabulary.ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 # near duplicates
 
 
