@@ -9,7 +9,8 @@ the others are continuation records, which may lie in other archives.
 The reader groups segments by the origin's record id, orders them by segment
 number, checks numbers and total length, and decodes the framing. Null payloads
 are empty. A null id is smaller than any; a repeated row is written as often as
-it occurs, and of repeated rows with the largest id each is a response.
+it occurs, and of repeated rows with the largest id each is a response. An empty
+table gives no archive and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, release
 from .common import batch_of
+from .scratch import Scratch
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -149,10 +151,10 @@ def decode_block(block: bytes) -> bytes | int:
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """(archive, content): parts of archives, in the shared checkpoint folder."""
+    """(archive, content): parts of archives, a table in the shared checkpoint folder that stays."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("sha"))
-    groups = rows.groupBy("sha").agg(F.max("id").alias("response_id"))
+    groups = cut(rows.groupBy("sha").agg(F.max("id").alias("response_id")))  # cut, so that Spark can split the join of a hot payload
     own = F.col("id").eqNullSafe(F.col("response_id")) | (F.octet_length("payload") < min_payload)
     dealt = rows.join(groups, "sha").select("id", "url", "payload", F.when(~own, F.col("response_id").cast("string")).alias("refers_to"))
 
@@ -174,7 +176,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             if data:
                 yield batch_of(ARCHIVE, archive=[f"{where}-{task:06d}-{part:05d}.warc.gz"], content=[b"".join(data)])
 
-    return cut(dealt.mapInArrow(run, "archive string, content binary"))
+    archives = Scratch(pages.sparkSession, "warc").write(dealt.mapInArrow(run, "archive string, content binary"), "archives")
+    release(pages.sparkSession)  # the payloads' shuffle files are done with
+    return archives
 
 
 def read_archives(archives: DataFrame, content_col: str = "content") -> DataFrame:
