@@ -335,6 +335,21 @@ def test_fertility_by_script():
     assert fertility.fertility("𒀀 𒀁", vocabulary, pieces)[2] == 1.0
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_fertility_rejects_junk_that_the_base_rule_misses(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    passed = fertility.quality_report(docs).filter("not base_failed").join(labels, "doc_id").toPandas()
+    kept = passed.groupby("quality")["kept"].mean()
+    assert kept[0] <= 0.15 and kept[1] >= 0.98
+
+
+def test_given_bands_replace_fitted_ones(spark):
+    wide = (0.0, 100.0, 1.0, 0.0)
+    docs = spark.createDataFrame([(1, "aichau### lichpf%%% zuung&&& keitenver*** erb$$$ einund### ägei%%% üschö&&& teau### tze%%% ungbe$$$", "de")], "doc_id long, text string, lang string")
+    assert [r["kept"] for r in fertility.quality_report(docs).collect()] == [False]
+    assert [r["kept"] for r in fertility.quality_report(docs, bands={"de": wide}).collect()] == [True]
+
+
 def test_byte_fallback_is_what_the_model_does(rows):
     import sentencepiece
 
