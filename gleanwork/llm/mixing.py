@@ -2,8 +2,11 @@
 
 Documents fall into cells of source, language and topic. Raking scales the
 tokens of cells until each dimension's shares meet their targets. A document is
-kept with a probability in proportion to its cell's factor, at most 1, such that
-the expected tokens meet a budget; a hash of its id decides, so a run repeats.
+kept with a probability of at most 1, the product of a multiplier for each of its
+categories, such that the expected tokens meet the targets and a budget; cells at 1
+stay there while the others are raked again. Where the targets can't be met within
+the budget it is lowered, to LEAST_SHARE at most; mix_shares() tells the shares
+wanted and expected. A hash of the id decides, so a run repeats.
 
 Tokens are words. A topic is three majority bits over the hashes of a text's
 words of five bytes or more, unless a topic column is given. Nulls in source,
@@ -32,6 +35,11 @@ KEEP_SHARE = 0.8
 #: Cells that the driver rakes in memory; more are raked by the executors.
 MAX_CELLS = 100_000
 ROUNDS, TOLERANCE = 40, 1e-9
+#: The budget is lowered to this share of the tokens at most; categories that are too small even then are kept whole.
+LEAST_SHARE = 0.2
+#: A budget's goals count as met at this relative distance.
+REACHED = 1e-3
+CELL_OPTIONS = ("text_col", "source_col", "lang_col", "topic_col")
 SEED = 11
 
 
@@ -117,57 +125,184 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, keep_share: float = KE
     return np.where(tokens > 0, np.minimum(1, high * factor), 1.0)
 
 
-def rake_on_executors(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
+def full_at(tokens: np.ndarray, share: np.ndarray, budget: float) -> np.ndarray:
+    """min(tokens, x * share) of the categories of a dimension, with x such that they sum up to the budget."""
+    capped = np.zeros(len(tokens), bool)
+    while True:
+        rest = share[~capped].sum()
+        goal = np.where(capped, tokens, share * (max(0.0, budget - tokens[capped].sum()) / rest if rest else 0.0))
+        more = ~capped & (goal > tokens * (1 + 1e-12))
+        if not more.any():
+            return goal
+        capped |= more
+
+
+def step(want, full, free, whole):
+    """What brings a category's expected tokens to `want`: by the tangent, or from below if that leads nowhere."""
+    up = (want > full) & (free > 0)
+    by_tangent = np.divide(want - full, free, out=np.ones_like(want), where=up)
+    return np.where(up, by_tangent, np.where(want < full, np.divide(want, whole, out=np.ones_like(want), where=whole > 0), 1.0))
+
+
+def calibrate(cells: pd.DataFrame, targets: dict[str, dict[str, float]], weight: np.ndarray, budget: float, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Probabilities min(1, product of a multiplier for each category) whose expected tokens meet targets and budget.
+
+    Cells at 1 stay there and the others are raked again. Starts from the raked
+    weights. Also returns the largest relative distance from a category's goal.
+    """
+    tokens = cells["tokens"].to_numpy(float)
+    rate = np.divide(weight * (budget / max(1.0, weight.sum())), tokens, out=np.zeros(len(tokens)), where=tokens > 0)
+    codes, want = {}, {}
+    for dim, target in targets.items():
+        codes[dim], names = pd.factorize(cells[dim])
+        have = np.bincount(codes[dim], tokens)
+        share = np.array([target.get(k, 0.0) for k in names]) * (have > 0)
+        want[dim] = full_at(have, share if share.sum() else have, budget)
+    for _ in range(rounds):
+        for dim in targets:
+            at = rate >= 1
+            sums_of = lambda x: np.bincount(codes[dim], x, len(want[dim]))  # noqa: B023, E731
+            rate *= step(want[dim], sums_of(tokens * at), sums_of(tokens * rate * ~at), sums_of(tokens * rate))[codes[dim]]
+    kept = np.minimum(1, rate) * tokens
+    worst = max((float((np.abs(np.bincount(codes[d], kept) - want[d])[want[d] > 0] / want[d][want[d] > 0]).max(initial=0.0)) for d in targets), default=0.0)
+    return np.where(tokens > 0, np.minimum(1, rate), 1.0), worst
+
+
+def budgets(total: float, room: float, safe: float, keep_share: float, least_share: float) -> list[float]:
+    """Expected tokens to try, largest first: the whole budget or as much as every category has room for, then what clips no cell."""
+    first = min(keep_share * total, max(room, least_share * total))
+    second = min(first, max(safe, least_share * total))
+    return [first] if second >= first else [first, second]
+
+
+def goals(cells: DataFrame, dim: str, exponent: float, given: dict[str, float] | None = None) -> DataFrame:
+    """(category, tokens, target share) of a dimension, of categories with tokens."""
+    have = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("have")).filter("have > 0")
+    if given is None:
+        total = have.agg(F.sum("have").alias("total"))
+        share = have.join(F.broadcast(total), how="cross").withColumn("p", F.pow(F.col("have") / F.col("total"), F.lit(exponent)))
+    else:
+        weights = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{dim} string, p double")
+        share = have.join(weights, dim, "left").na.fill(0.0, ["p"])
+    every = share.agg(F.sum("p").alias("all"), F.sum("have").alias("whole"))
+    share = share.join(F.broadcast(every), how="cross")
+    return cut(share.select(dim, "have", F.when(F.col("all") > 0, F.try_divide("p", "all")).otherwise(F.col("have") / F.col("whole")).alias("share")))
+
+
+def rake_on_executors(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """The same raking by aggregations, for more cells than a driver should hold.
 
-    `exponents`: of the targets, by dimension. Adds the column weight.
+    `wanted`: goals() by dimension. Adds the column weight.
     """
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
     total = cells.agg(F.sum("weight")).first()[0] or 0.0
-    wanted = {}
-    for dim, exponent in exponents.items():
-        share = cells.groupBy(dim).agg(F.sum("weight").alias("w")).filter("w > 0").withColumn("p", F.pow(F.col("w") / total, F.lit(exponent)))
-        wanted[dim] = cut(share.join(F.broadcast(share.agg(F.sum("p").alias("all"))), how="cross").select(dim, (F.col("p") / F.col("all") * total).alias("goal")))
     for _ in range(rounds):
-        for dim in exponents:
-            now = cells.groupBy(dim).agg(F.sum("weight").alias("now")).join(wanted[dim], dim).select(dim, (F.col("goal") / F.col("now")).alias("f"))
+        for dim, goal in wanted.items():
+            now = cells.groupBy(dim).agg(F.sum("weight").alias("now")).join(goal, dim).select(dim, F.try_divide(F.col("share") * total, "now").alias("f"))
             cells = cells.join(now, dim, "left").withColumn("weight", F.col("weight") * F.coalesce("f", F.lit(1.0))).drop("f")
         cells = cut(cells)
     return cells
 
 
-def cell_probabilities(found: DataFrame, names: dict[str, str], exponents: dict[str, float] | None = None, keep_share: float = KEEP_SHARE, max_cells: int = MAX_CELLS, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, weight, probability) of every cell."""
-    exponents = exponents or EXPONENTS
+def calibrate_on_executors(cells: DataFrame, wanted: dict[str, DataFrame], budget: float, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """calibrate() by aggregations. Adds the column probability."""
+    scale = budget / max(1.0, cells.agg(F.sum("weight")).first()[0] or 0.0)
+    cells = cells.withColumn("rate", F.coalesce(F.try_divide(F.col("weight") * scale, "tokens"), F.lit(0.0)))
+    want = {}
+    for dim, goal in wanted.items():
+        goal, capped = goal.withColumn("capped", F.lit(False)), -1
+        while True:
+            rest, taken, n = goal.agg(F.sum(F.when(~F.col("capped"), F.col("share"))), F.sum(F.when(F.col("capped"), F.col("have"))), F.sum(F.col("capped").cast("long"))).first()
+            x = max(0.0, budget - (taken or 0.0)) / rest if rest else 0.0
+            goal = goal.withColumn("want", F.when(F.col("capped"), F.col("have")).otherwise(F.col("share") * x))
+            if n == capped:
+                break
+            capped = n
+            goal = cut(goal.withColumn("capped", F.col("capped") | (F.col("want") > F.col("have") * (1 + 1e-12))))
+        want[dim] = cut(goal.select(dim, "want"))
+    t, r = F.col("tokens"), F.col("rate")
+    for _ in range(rounds):
+        for dim in want:
+            now = cells.groupBy(dim).agg(F.sum(F.when(r >= 1, t).otherwise(0)).alias("full"), F.sum(F.when(r < 1, t * r).otherwise(0.0)).alias("free"), F.sum(t * r).alias("whole")).join(want[dim], dim)
+            f = F.when((F.col("want") > F.col("full")) & (F.col("free") > 0), F.try_divide(F.col("want") - F.col("full"), "free")).when(F.col("want") < F.col("full"), F.try_divide("want", "whole"))
+            cells = cells.join(now.select(dim, f.alias("f")), dim, "left").withColumn("rate", r * F.coalesce("f", F.lit(1.0))).drop("f")
+        cells = cut(cells)
+    cells = cells.withColumn("probability", F.when(t > 0, F.least(F.lit(1.0), r)).otherwise(1.0)).drop("rate")
+    far = [cells.groupBy(d).agg(F.sum(t * F.col("probability")).alias("kept")).join(want[d], d).agg(F.max(F.when(F.col("want") > 0, F.try_divide(F.abs(F.col("kept") - F.col("want")), "want")))).first()[0] for d in want]
+    return cells, max([x or 0.0 for x in far], default=0.0)
+
+
+def named(targets: dict[str, dict] | None, lexical: bool) -> dict[str, dict[str, float]]:
+    """Targets by the names of categories in cells; the key None is null."""
+    plain = lambda d, k: "null" if k is None else k if lexical and d == "topic" else f"={k}"
+    return {d: {plain(d, k): float(v) for k, v in t.items()} for d, t in (targets or {}).items()}
+
+
+def cells_of(found: DataFrame, names: dict[str, str]) -> DataFrame:
+    return cut(found.groupBy(*[F.col(names[d]).alias(d) for d in EXPONENTS]).agg(F.sum(names["tokens"]).alias("tokens")))
+
+
+def cell_probabilities(found: DataFrame, names: dict[str, str], exponents: dict[str, float] | None = None, keep_share: float = KEEP_SHARE, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(source, lang, topic, weight, probability) of every cell. `targets`: from named()."""
+    exponents, targets = exponents or EXPONENTS, targets or {}
     dims = list(exponents)
     spark = found.sparkSession
-    cells = cut(found.groupBy(*[F.col(names[d]).alias(d) for d in dims]).agg(F.sum(names["tokens"]).alias("tokens")))
+    cells = cells_of(found, names)
     n = cells.count()
     if n <= max_cells:
         here = cells.orderBy(*dims).toPandas()
         total = max(1, here["tokens"].sum())
-        targets = {d: targets_of((here.groupby(d)["tokens"].sum() / total).to_dict(), exponents[d]) for d in dims}
-        here["weight"] = rake(here, targets, rounds)
-        here["probability"] = probabilities(here["tokens"].to_numpy(float), here["weight"].to_numpy(), keep_share)
+        have = {d: here.groupby(d)["tokens"].sum() for d in dims}
+        wanted = {d: targets_of((have[d] / total).to_dict(), exponents[d]) if d not in targets else targets[d] for d in dims}
+        here["weight"] = rake(here, wanted, rounds)
+        tokens, weight = here["tokens"].to_numpy(float), here["weight"].to_numpy(float)
+        room = float("inf")
+        for d in dims:
+            share = pd.Series(wanted[d], dtype=float).reindex(have[d].index).fillna(0.0) * (have[d] > 0)
+            share = share[share > 0] / max(share.sum(), 1e-300)
+            room = min(room, (have[d][share.index] / share).min()) if len(share) else room
+        some = tokens[weight > 0]
+        factor = weight[weight > 0] / some
+        tried = budgets(some.sum(), room, weight.sum() / factor.max() if len(some) else 0.0, keep_share, least_share)
+        for budget in tried:
+            here["probability"], far = calibrate(here, wanted, weight, budget, rounds)
+            if far < REACHED:
+                break
         rows = [tuple(r) for r in here[[*dims, "tokens", "weight", "probability"]].itertuples(index=False)]
         return spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", tokens long, weight double, probability double").hint("broadcast")
-    cells = rake_on_executors(cells, exponents, rounds)
-    some = cells.filter("tokens > 0")
-    goal = keep_share * (some.agg(F.sum("tokens")).first()[0] or 0)
-    expected = lambda s: some.agg(F.sum(F.least(F.lit(1.0) * F.col("tokens"), s * F.col("weight")))).first()[0] or 0.0
-    low, high = 0.0, 1.0
-    while goal and expected(high) < goal and high < 1e18:
-        high *= 2
-    for _ in range(40):
-        mid = (low + high) / 2
-        low, high = (mid, high) if expected(mid) < goal else (low, mid)
-    return cells.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(high) * F.col("weight") / F.col("tokens"))).otherwise(1.0))
+    wanted = {d: goals(cells, d, exponents[d], targets.get(d)) for d in dims}
+    cells = rake_on_executors(cells, wanted, rounds)
+    room = min((x for d in dims if (x := wanted[d].filter("share > 0").agg(F.min(F.col("have") / F.col("share"))).first()[0]) is not None), default=float("inf"))
+    some, weight, most = cells.filter("weight > 0").agg(F.sum("tokens"), F.sum("weight"), F.max(F.col("weight") / F.col("tokens"))).first()
+    for budget in budgets(float(some or 0), room, weight / most if most else 0.0, keep_share, least_share):
+        out, far = calibrate_on_executors(cells, wanted, budget, rounds)
+        if far < REACHED:
+            break
+    return out
+
+
+def mix_shares(docs: DataFrame, exponents: dict[str, float] | None = None, targets: dict[str, dict] | None = None, **options) -> DataFrame:
+    """One row per category with tokens: dim, category, and its shares: own, target, and expected of what is kept."""
+    cell_options = {k: options.pop(k) for k in CELL_OPTIONS if k in options}
+    exponents, given = exponents or EXPONENTS, named(targets, not cell_options.get("topic_col"))
+    found, names = with_cells(docs, **cell_options)
+    found = cut(found.select(*[F.col(c).alias(k) for k, c in names.items()]))
+    table = cut(cell_probabilities(found, {k: k for k in names}, exponents, targets=given, **options))
+    every = table.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("probability")).alias("all_kept"))
+    out = None
+    for dim, exponent in exponents.items():
+        kept = table.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("probability")).alias("kept"))
+        rows = goals(table, dim, exponent, given.get(dim)).join(kept, dim).join(F.broadcast(every), how="cross")
+        rows = rows.select(F.lit(dim).alias("dim"), F.col(dim).alias("category"), (F.col("have") / F.col("all")).alias("own"), F.col("share").alias("target"), F.try_divide("kept", "all_kept").alias("expected"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per row of docs: doc_id, source, lang, topic, tokens, factor, probability, kept."""
+    """One row per row of docs: doc_id, source, lang, topic, tokens, factor, probability, kept. Options as of mix()."""
     need = [c for c in dict.fromkeys([id_col, options.get("text_col", "text"), options.get("source_col", "source"), options.get("lang_col", "lang"), options.get("topic_col")]) if c]
-    cell_options = {k: options.pop(k) for k in ("text_col", "source_col", "lang_col", "topic_col") if k in options}
+    cell_options = {k: options.pop(k) for k in CELL_OPTIONS if k in options}
+    options["targets"] = named(options.get("targets"), not cell_options.get("topic_col"))
     found, names = with_cells(docs.select(*need), **cell_options)
     found = cut(found.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(k) for k, c in names.items()]))
     table = cell_probabilities(found, {k: k for k in names}, **options)
@@ -181,8 +316,14 @@ def drawn(id_col: str, probability):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the draw keeps, with the columns of docs."""
-    cell_options = {k: options.pop(k) for k in ("text_col", "source_col", "lang_col", "topic_col") if k in options}
+    """The rows of docs that the draw keeps, with the columns of docs.
+
+    `targets`: by dimension (source, lang, topic), the weight of each category, whose
+    sum may be any; one that is not named has none, and its documents with tokens
+    are dropped. A dimension without targets gets them from its exponent.
+    """
+    cell_options = {k: options.pop(k) for k in CELL_OPTIONS if k in options}
+    options["targets"] = named(options.get("targets"), not cell_options.get("topic_col"))
     found, names = with_cells(docs, **cell_options)
     table = cell_probabilities(found, names, **options)
     keep = fresh(found, "_probability")

@@ -251,6 +251,42 @@ def test_mixing_paths_agree(docs, none, rows):
     assert mixing.mix(none).collect() == [] and mixing.mix_report(none).collect() == []
 
 
+def skewed(spark):
+    rng = random.Random(6)
+    sources, langs = ["hot"] * 6 + ["a"] * 3 + ["b", "c", "d"], ["en"] * 7 + ["de", "fr", "es"]
+    rows = [(i, " ".join(rng.choices("alpha bravo charlie delta echo foxtrot golf hotel".split(), k=rng.randint(20, 60))), rng.choice(sources), rng.choice(langs)) for i in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+
+@pytest.mark.parametrize("targets", [None, {"source": {"hot": 1, "a": 1, "b": 1, "c": 1, "d": 1}}, {"lang": {"en": 3, "de": 3, "fr": 2, "es": 2}, "source": {"hot": 2, "a": 3, "b": 1}}])
+def test_expected_marginals_are_the_targets(spark, targets):
+    docs = skewed(spark).cache()
+    shares = mixing.mix_shares(docs, targets=targets).toPandas()
+    assert shares["expected"].to_numpy() == pytest.approx(shares["target"].to_numpy(), abs=1e-3)
+    if targets:
+        wanted = {("source", f"={k}"): v / sum(targets["source"].values()) for k, v in targets["source"].items()}
+        got = {(r.dim, r.category): r.target for r in shares.itertuples()}
+        assert {k: got[k] for k in wanted} == pytest.approx(wanted)
+    report = mixing.mix_report(docs, targets=targets).toPandas()
+    assert report["probability"].max() <= 1
+    weighted = (report["probability"] * report["tokens"]).groupby(report["source"]).sum()
+    expected = shares[shares["dim"] == "source"].set_index("category")["expected"]
+    assert (weighted / weighted.sum())[expected.index].to_numpy() == pytest.approx(expected.to_numpy(), abs=1e-6)
+    if targets and "lang" in targets:
+        assert set(report[report["kept"]]["source"]) == {"=hot", "=a", "=b"}
+    if targets is None:  # the clipped sample of the whole budget misses them
+        cells = report.groupby(["source", "lang", "topic"], as_index=False).agg(tokens=("tokens", "sum"), factor=("factor", "first"))
+        p = mixing.probabilities(cells["tokens"].to_numpy(float), (cells["tokens"] * cells["factor"]).to_numpy())
+        clipped = (p * cells["tokens"]).groupby(cells["source"]).sum()
+        assert np.abs((clipped / clipped.sum())[expected.index].to_numpy() - shares[shares["dim"] == "source"]["target"].to_numpy()).max() > 5e-3
+
+
+def test_calibration_on_executors_is_the_same(spark):
+    docs, targets = skewed(spark).limit(400).cache(), {"source": {"hot": 1, "a": 2, "b": 1, "c": 1, "d": 1}}
+    here, there = (mixing.mix_report(docs, targets=targets, rounds=3, max_cells=n).toPandas().sort_values("doc_id") for n in (100_000, 0))
+    assert there["probability"].to_numpy() == pytest.approx(here["probability"].to_numpy(), rel=1e-6)
+
+
 # WARC
 
 
