@@ -8,10 +8,11 @@ stay there while the others are raked again. Where the targets can't be met with
 the budget it is lowered, to LEAST_SHARE at most; mix_shares() tells the shares
 wanted and expected. A hash of the id decides, so a run repeats.
 
-Tokens are words. A topic is three majority bits over the hashes of a text's
+Tokens are those of the byte-level vocabulary; words or a column of counts are
+options. A topic is three majority bits over the hashes of a text's
 words of five bytes or more, unless a topic column is given. Nulls in source,
 language or topic are a category of their own; null texts are empty. Rows with
-equal ids share one fate within a cell. Documents without words are kept. An empty
+equal ids share one fate within a cell. Documents without tokens are kept. An empty
 table gives no rows. Columns of any name pass through mix() untouched.
 """
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import cut, fresh
-from .common import slices, utf8
+from .common import slices, texts_of, utf8
 from .textkit import split_words, sums, text_of_word, word_hashes
+from .vocabularies import byte_vocabulary, vocabulary_path
 
 TOPIC_BITS = 3
 #: Powers of a category's own share: 1 keeps the shares, 0 makes them equal.
@@ -39,7 +41,7 @@ ROUNDS, TOLERANCE = 40, 1e-9
 LEAST_SHARE = 0.2
 #: A budget's goals count as met at this relative distance.
 REACHED = 1e-3
-CELL_OPTIONS = ("text_col", "source_col", "lang_col", "topic_col")
+CELL_OPTIONS = ("text_col", "source_col", "lang_col", "topic_col", "tokens_col", "count_words", "json_path", "ranks_path")
 SEED = 11
 
 
@@ -56,8 +58,13 @@ def lexical_topics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.diff(first), topic
 
 
-def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """docs with columns for source, lang, topic and tokens, and the names of these."""
+def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, tokens_col: str | None = None, count_words: bool = False, json_path: str | None = None, ranks_path: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns for source, lang, topic and tokens, and the names of these.
+
+    Tokens are counted by the vocabulary, unless a column holds them (null is 0) or words shall count.
+    """
+    json_path = json_path or vocabulary_path("byte_bpe_50k.json")
+    ranks_path = ranks_path or vocabulary_path("byte_bpe_50k.tiktoken")
     names = {}
     for k in ("source", "lang", "topic", "tokens"):
         names[k] = fresh(docs, f"_{k}_{len(names)}")
@@ -65,13 +72,18 @@ def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "sourc
     schema = T.StructType([*docs.schema.fields, T.StructField(names["tokens"], T.LongType()), T.StructField(names["topic"], T.StringType())])
 
     def run(batches):
+        vocabulary = None if tokens_col or count_words else byte_vocabulary(json_path, ranks_path)
         for batch in batches:
             data, offsets = utf8(batch.column(at))
             parts = [lexical_topics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)]
             tokens, topics = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((), ())))
+            if vocabulary:
+                tokens = [len(vocabulary.ids(text)) for text in texts_of(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64()), pa.array([f"t{x}" for x in topics], pa.string())], names=[*batch.schema.names, names["tokens"], names["topic"]])
 
     out = docs.mapInArrow(run, schema)
+    if tokens_col:
+        out = out.withColumn(names["tokens"], F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)))
     for k, column in (("source", source_col), ("lang", lang_col), ("topic", topic_col)):
         if column:
             out = out.withColumn(names[k], F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null")))
@@ -300,7 +312,7 @@ def mix_shares(docs: DataFrame, exponents: dict[str, float] | None = None, targe
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, tokens, factor, probability, kept. Options as of mix()."""
-    need = [c for c in dict.fromkeys([id_col, options.get("text_col", "text"), options.get("source_col", "source"), options.get("lang_col", "lang"), options.get("topic_col")]) if c]
+    need = [c for c in dict.fromkeys([id_col, options.get("text_col", "text"), options.get("source_col", "source"), options.get("lang_col", "lang"), options.get("topic_col"), options.get("tokens_col")]) if c]
     cell_options = {k: options.pop(k) for k in CELL_OPTIONS if k in options}
     options["targets"] = named(options.get("targets"), not cell_options.get("topic_col"))
     found, names = with_cells(docs.select(*need), **cell_options)

@@ -281,6 +281,19 @@ def test_expected_marginals_are_the_targets(spark, targets):
         assert np.abs((clipped / clipped.sum())[expected.index].to_numpy() - shares[shares["dim"] == "source"]["target"].to_numpy()).max() > 5e-3
 
 
+def test_mixing_weighs_tokens(spark, docs, rows, exact):
+    plain = docs.filter("text is null or not contains(text, '<|')")
+    got = bag((r["doc_id"], r["tokens"]) for r in mixing.mix_report(plain).collect())
+    assert got == Counter((r[0], len(exact.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows if "<|" not in (r[1] or ""))
+    words = bag((r["doc_id"], r["tokens"]) for r in mixing.mix_report(docs, count_words=True).collect())
+    assert words == Counter((r[0], brute.base_counts(r[1])[0]) for r in rows)
+    counted = docs.withColumn("n", F.when(F.col("doc_id") > 9, F.lit(7)))
+    assert {((r["doc_id"] or 0) > 9, r["tokens"]) for r in mixing.mix_report(counted, tokens_col="n").collect()} == {(True, 7), (False, 0)}
+    long = spark.createDataFrame([(1, "日本語の文章です。" * 50, "a", "ja"), (2, "word", "a", "en")], "doc_id long, text string, source string, lang string")
+    tokens = {r["doc_id"]: r["tokens"] for r in mixing.mix_report(long).collect()}
+    assert tokens[1] > 100 * tokens[2]
+
+
 def test_calibration_on_executors_is_the_same(spark):
     docs, targets = skewed(spark).limit(400).cache(), {"source": {"hot": 1, "a": 2, "b": 1, "c": 1, "d": 1}}
     here, there = (mixing.mix_report(docs, targets=targets, rounds=3, max_cells=n).toPandas().sort_values("doc_id") for n in (100_000, 0))
