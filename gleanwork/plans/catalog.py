@@ -263,6 +263,17 @@ def insert_or_ignore(read):
     return ledger.new_rows(docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 3 = 0 and doc_id < 150"), ["doc_id"]).select("url", "doc_id")
 
 
+@query("""
+WITH b AS (SELECT sha256(coalesce(text, '')) AS url, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+h AS (SELECT sha256(coalesce(text, '')) AS url FROM documents JOIN labels USING (doc_id))
+SELECT url, doc_id FROM b ANTI JOIN h USING (url)
+""")
+def insert_or_ignore_whole(read):
+    """All documents by their text's hash, against the documents of all labels as history."""
+    docs = read("documents").select("doc_id", hashing.sha256_hex(F.coalesce("text", F.lit(""))).alias("url"))
+    return ledger.new_rows(docs, docs.join(read("labels").select("doc_id"), "doc_id"), ["doc_id"]).select("url", "doc_id")
+
+
 @query("""
 SELECT concat('2024-01-01T00:00:', lpad(CAST(page_id % 60 AS VARCHAR), 2, '0'), '+00:00') AS created_at, url, concat('{"url":"', url, '","sha256":"', sha256(html), '","phash":null,"filepath":null,"category":"other","created_at":"2024-01-01T00:00:', lpad(CAST(page_id % 60 AS VARCHAR), 2, '0'),
   '+00:00","model_name":"model","confidence":1.0}') AS item FROM pages

@@ -36,6 +36,15 @@ def test_greedy_scan(spark):
     assert sorted(r["vec_id"] for r in got) == kept
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the driver's tables are not here")
+def test_insert_or_ignore_meets_whole_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    first = docs.sort_values("doc_id").drop_duplicates("text")
+    known = set(docs[docs["doc_id"].isin(labels["doc_id"])]["text"])
+    got = {r["doc_id"] for r in catalog.QUERIES["insert_or_ignore_whole"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == set(first[~first["text"].isin(known)]["doc_id"]) and len(got) > 400 and len(known) > 50
+
+
 def test_every_query_is_registered():
     import __spark_entry__
 
