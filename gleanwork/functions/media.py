@@ -34,8 +34,11 @@ def sniff_mime(data: Column) -> Column:
 
 
 def looks_like_html(data: Column, within: int = 1024) -> Column:
-    """Whether the first byte after ASCII white space is `<`. Longer white space than `within` is no page."""
-    return F.hex(F.substring(data, 1, within)).rlike("^(20|09|0A|0B|0C|0D)*3C")
+    """Whether the first byte after ASCII white space is `<`. Only a value that is blank `within` so many bytes is read further."""
+    head = F.hex(F.substring(data, 1, within))
+    blank = head.rlike("^(20|09|0A|0B|0C|0D)*$") & (F.octet_length(data) > within)
+    rest = F.ltrim(F.decode(data.cast("binary"), "ISO-8859-1"), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(blank, rest.startswith("<")).otherwise(head.rlike("^(20|09|0A|0B|0C|0D)*3C"))
 
 
 def declared_length(content_length: Column) -> Column:

@@ -59,6 +59,13 @@ def test_media(spark):
     assert one(spark, media.looks_like_html(F.col("d")), d=b"a<") is False
 
 
+def test_html_after_long_white_space(spark):
+    for n in (1023, 1024, 1025, 300_000):
+        blanks = (b" \t\n\x0b\x0c\r" * n)[:n]
+        for tail, is_html in ((b"<html", True), (b"a<", False), (b"", False), (b"\xff<", False), (b"\xe2", False)):
+            assert one(spark, media.looks_like_html(F.col("d")), d=blanks + tail) is is_html, (n, tail)
+
+
 def test_reject_reason(spark):
     rows = [
         (404, "", None, b"x" * 10, "status"), (200, "", "21", b"x" * 10, "too large (declared)"), (200, "", "4", b"x" * 10, "too small (declared)"), (200, "text/plain", None, b"x" * 10, "unsupported content-type"),
