@@ -43,13 +43,13 @@ def attribute(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, int]:
     return np.bincount(first, minlength=len(starts)), len(crossing)
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", json_path: str | None = None, ranks_path: str | None = None, added: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_sections, n_crossing, section_tokens."""
     json_path = json_path or vocabulary_path("byte_bpe_50k.json")
     ranks_path = ranks_path or vocabulary_path("byte_bpe_50k.tiktoken")
 
     def run(batches):
-        vocabulary = byte_vocabulary(json_path, ranks_path)
+        vocabulary = byte_vocabulary(json_path, ranks_path, added)
         for batch in batches:
             rows = []
             for text in texts_of(batch.column(1)):

@@ -92,7 +92,7 @@ def within(band: str, bands: dict, fitted: dict, tokens: int, chars: float, fall
     return least <= chars <= most and fallback <= bytes_most and entropy >= entropy_least
 
 
-def annotate(docs: DataFrame, into: str, text_col: str = "text", lang_col: str = "lang", byte_path: str | None = None, ranks_path: str | None = None, piece_path: str | None = None, bands: dict | None = None) -> DataFrame:
+def annotate(docs: DataFrame, into: str, text_col: str = "text", lang_col: str = "lang", byte_path: str | None = None, ranks_path: str | None = None, piece_path: str | None = None, bands: dict | None = None, added: bool = False) -> DataFrame:
     """All columns of docs, and a struct of the counts and the verdict named `into`.
 
     A band that is given replaces both the band and the fitted bounds of its language.
@@ -106,7 +106,7 @@ def annotate(docs: DataFrame, into: str, text_col: str = "text", lang_col: str =
     lang_at = docs.columns.index(lang_col) if lang_col in docs.columns else None
 
     def judge(column: pa.Array, langs: list) -> pa.Array:
-        vocabulary, pieces = byte_vocabulary(byte_path, ranks_path), piece_vocabulary(piece_path)
+        vocabulary, pieces = byte_vocabulary(byte_path, ranks_path, added), piece_vocabulary(piece_path)
         data, offsets = utf8(column)
         counts: dict[str, list] = {f.name: [] for f in STATS}
         for lo, hi in slices(offsets):

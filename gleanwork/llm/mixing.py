@@ -41,7 +41,7 @@ ROUNDS, TOLERANCE = 40, 1e-9
 LEAST_SHARE = 0.2
 #: A budget's goals count as met at this relative distance.
 REACHED = 1e-3
-CELL_OPTIONS = ("text_col", "source_col", "lang_col", "topic_col", "tokens_col", "count_words", "json_path", "ranks_path")
+CELL_OPTIONS = ("text_col", "source_col", "lang_col", "topic_col", "tokens_col", "count_words", "json_path", "ranks_path", "added")
 SEED = 11
 
 
@@ -58,7 +58,7 @@ def lexical_topics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.diff(first), topic
 
 
-def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, tokens_col: str | None = None, count_words: bool = False, json_path: str | None = None, ranks_path: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, tokens_col: str | None = None, count_words: bool = False, json_path: str | None = None, ranks_path: str | None = None, added: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns for source, lang, topic and tokens, and the names of these.
 
     Tokens are counted by the vocabulary, unless a column holds them (null is 0) or words shall count.
@@ -72,7 +72,7 @@ def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "sourc
     schema = T.StructType([*docs.schema.fields, T.StructField(names["tokens"], T.LongType()), T.StructField(names["topic"], T.StringType())])
 
     def run(batches):
-        vocabulary = None if tokens_col or count_words else byte_vocabulary(json_path, ranks_path)
+        vocabulary = None if tokens_col or count_words else byte_vocabulary(json_path, ranks_path, added)
         for batch in batches:
             data, offsets = utf8(batch.column(at))
             parts = [lexical_topics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)]

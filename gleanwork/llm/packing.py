@@ -105,13 +105,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(runs, dtype=np.int64).reshape(-1, 5)
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_token: int = END_TOKEN, json_path: str | None = None, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_token: int = END_TOKEN, json_path: str | None = None, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """A row for each piece, with its block (a task) and its rank among the block's pieces of its length."""
     json_path = json_path or vocabulary_path("byte_bpe_50k.json")
     ranks_path = ranks_path or vocabulary_path("byte_bpe_50k.tiktoken")
 
     def run(batches):
-        vocabulary, block, seen = byte_vocabulary(json_path, ranks_path), TaskContext.get().partitionId(), {}
+        vocabulary, block, seen = byte_vocabulary(json_path, ranks_path, added), TaskContext.get().partitionId(), {}
         for batch in batches:
             out = {name: [] for name in PIECES.names}
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):

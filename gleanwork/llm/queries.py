@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark, sf_dir):
-    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), added=True)
 
 
 def op2_quality_classifier(spark, sf_dir):
@@ -35,7 +35,7 @@ def op5_substring_dedup(spark, sf_dir):
 
 
 def op6_source_mixing(spark, sf_dir):
-    return mixing.mix_report(_read(spark, sf_dir, "documents"))
+    return mixing.mix_report(_read(spark, sf_dir, "documents"), added=True)
 
 
 def op7_warc(spark, sf_dir):
@@ -44,7 +44,7 @@ def op7_warc(spark, sf_dir):
 
 
 def op8_quality_rules(spark, sf_dir):
-    return fertility.quality_report(_read(spark, sf_dir, "documents"))
+    return fertility.quality_report(_read(spark, sf_dir, "documents"), added=True)
 
 
 def op9_near_duplicates(spark, sf_dir):
@@ -52,7 +52,7 @@ def op9_near_duplicates(spark, sf_dir):
 
 
 def op10_token_counts(spark, sf_dir):
-    return attribution.count_tokens(_read(spark, sf_dir, "documents"))
+    return attribution.count_tokens(_read(spark, sf_dir, "documents"), added=True)
 
 
 def queries() -> dict:

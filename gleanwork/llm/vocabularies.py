@@ -27,13 +27,19 @@ def vocabulary_path(name: str) -> str:
 
 
 class ByteVocabulary:
-    """Ids as the tokenizers library gives them for the .json file, without special tokens."""
+    """Ids as the tokenizers library gives them for the .json file with add_special_tokens=False.
 
-    def __init__(self, json_path: str, ranks_path: str | None):
+    With `added`, a text that spells an added token has that token's id, as by the
+    library's default; else the spelling is plain text.
+    """
+
+    def __init__(self, json_path: str, ranks_path: str | None, added: bool = False):
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_path)
-        self.exact.encode_special_tokens = True
+        self.exact.encode_special_tokens = not added
+        spelled = {i: t.content for i, t in self.exact.get_added_tokens_decoder().items()} if added else {}
+        self.added = re.compile("|".join(map(re.escape, spelled.values()))) if spelled else None
         self.fast = None
         if ranks_path and os.path.exists(ranks_path):
             import public_tokenizers
@@ -42,11 +48,15 @@ class ByteVocabulary:
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.widths = np.zeros(max(ranks.values()) + 2, np.int64)
+            self.widths = np.zeros(max([*ranks.values(), *spelled]) + 2, np.int64)
             for token, rank in ranks.items():
                 self.widths[rank] = len(token)
+            for i, content in spelled.items():
+                self.widths[i] = len(content.encode())
 
     def ids(self, text: str) -> np.ndarray:
+        if self.added and self.added.search(text):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if len(text) > _PART and (cut := _BREAK.search(text, _PART)):
             parts, at = [], 0
             while cut:
@@ -60,8 +70,8 @@ class ByteVocabulary:
 
 
 @functools.lru_cache(maxsize=4)
-def byte_vocabulary(json_path: str, ranks_path: str | None) -> ByteVocabulary:
-    return ByteVocabulary(json_path, ranks_path)
+def byte_vocabulary(json_path: str, ranks_path: str | None, added: bool = False) -> ByteVocabulary:
+    return ByteVocabulary(json_path, ranks_path, added)
 
 
 class PieceVocabulary:

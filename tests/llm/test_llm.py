@@ -416,6 +416,33 @@ def test_plain_texts_encode_alike(exact, rows):
         assert vocabulary.ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_queries_give_the_library_s_ids(spark, docs, rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    from gleanwork.llm import queries
+
+    library = Tokenizer.from_file(vocabularies.vocabulary_path("byte_bpe_50k.json"))
+    more = [(10_000, "a <|endoftext|> b"), (10_001, "<|endoftext|><|endoftext|>\nx"), (10_002, "the end " * 60_000 + "<|endoftext|>"), (10_003, "日本<|endoftext|>\n語")]
+    texts = [(r[0], r[1] or "") for r in rows] + more
+    table = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame([(i, t, None, None) for i, t in more], "doc_id long, text string, lang string, source string"))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    ids = [(i, library.encode(t, add_special_tokens=False).ids) for i, t in texts]
+    assert 50256 in ids[-4][1] and len(ids[-4][1]) == 4
+    n = Counter((i, len(x)) for i, x in ids)
+    counted = queries.op10_token_counts(spark, str(tmp_path)).collect()
+    assert bag((r["doc_id"], r["n_tokens"]) for r in counted) == n and all(sum(r["section_tokens"]) == r["n_tokens"] for r in counted)
+    assert {r["doc_id"]: r["section_tokens"] for r in counted}[10_001] == [3, 1]
+    assert bag((r["doc_id"], r["n_tokens"]) for r in queries.op8_quality_rules(spark, str(tmp_path)).collect()) == n
+    assert bag((r["doc_id"], r["tokens"]) for r in queries.op6_source_mixing(spark, str(tmp_path)).collect()) == n
+    whole = Counter()
+    for r in queries.op1_best_fit_packing(spark, str(tmp_path)).collect():
+        whole[r["doc_id"]] += r["length"]
+    sizes = Counter()
+    for i, x in ids:
+        sizes[i] += len(x) + 1
+    assert whole == sizes
+
+
 def test_long_texts_encode_alike_in_parts(exact, monkeypatch):
     vocabulary = vocabularies.byte_vocabulary(vocabularies.vocabulary_path("byte_bpe_50k.json"), vocabularies.vocabulary_path("byte_bpe_50k.tiktoken"))
     monkeypatch.setattr(vocabularies, "_PART", 50)
