@@ -35,11 +35,30 @@ PHRASES = {
     "the unlicense": "unlicense",
     "proprietary and confidential": "proprietary",
     "do not distribute": "proprietary",
+    "non commercial use only": "non-commercial",
+    "noncommercial use only": "non-commercial",
+    "mozilla public license version 2 0": "mpl-2.0",
+    "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute this software": "isc",
+    "redistribution and use in source and binary forms": "bsd",
 }
+# Creative Commons forms, by code and in words.
+for _code, _words in {
+    "nc": ["noncommercial", "non commercial"], "nd": ["noderivatives", "no derivatives", "noderivs"], "sa": ["sharealike", "share alike"],
+    "nc nd": [f"{a} {b}" for a in ("noncommercial", "non commercial") for b in ("noderivatives", "no derivatives", "noderivs")],
+    "nc sa": [f"{a} {b}" for a in ("noncommercial", "non commercial") for b in ("sharealike", "share alike")],
+}.items():
+    PHRASES[f"cc by {_code}"] = f"cc-by-{_code.replace(' ', '-')}"
+    PHRASES |= {f"creative commons attribution {x}": PHRASES[f"cc by {_code}"] for x in _words}
+# Versions of the GNU licences, which fall under their family's openness.
+for _family, _words in {"gpl": "gnu general public license", "lgpl": "gnu lesser general public license", "agpl": "gnu affero general public license"}.items():
+    for _v in ("2", "2 1", "3"):
+        _label = f"{_family}-{_v.replace(' ', '.')}{'' if ' ' in _v else '.0'}"
+        PHRASES |= {x: _label for x in (f"{_words} version {_v}", f"{_words} v{_v}", f"{_family}v{_v}", f"{_family} v{_v}", f"{_family} version {_v}")}
 TAG = "spdx license identifier"
 OPENNESS = {
     "mit": 1.0, "apache": 1.0, "apache-2.0": 1.0, "bsd": 1.0, "isc": 1.0, "cc0-1.0": 1.0, "unlicense": 1.0, "public-domain": 1.0,
-    "cc-by": 0.9, "mpl": 0.7, "lgpl": 0.6, "gpl": 0.5, "agpl": 0.4, "reserved": 0.0, "proprietary": 0.0,
+    "cc-by": 0.9, "cc-by-sa": 0.6, "cc-by-nd": 0.3, "cc-by-nc": 0.3, "cc-by-nc-sa": 0.2, "cc-by-nc-nd": 0.1, "non-commercial": 0.2, "mpl": 0.7, "lgpl": 0.6, "gpl": 0.5, "agpl": 0.4, "reserved": 0.0, "proprietary": 0.0,
 }
 UNKNOWN = 0.3
 

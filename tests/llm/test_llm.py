@@ -151,6 +151,16 @@ def test_expression_values(none):
     assert licenses.scan_licenses(none).collect() == []
 
 
+@pytest.mark.parametrize("text, label, score", [
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc", 0.3), ("CC-BY-NC-ND", "cc-by-nc-nd", 0.1), ("cc by-sa 3.0", "cc-by-sa", 0.6), ("Creative Commons Attribution-NonCommercial-ShareAlike", "cc-by-nc-sa", 0.2), ("CC BY 4.0", "cc-by", 0.9),
+    ("under the GNU General Public License, version 3", "gpl-3.0", 0.5), ("GPLv2", "gpl-2.0", 0.5), ("LGPL v2.1", "lgpl-2.1", 0.6),
+    ("Permission is hereby granted, free of charge, to any person", "mit", 1.0), ("Redistribution and use in source and binary forms, with", "bsd", 1.0),
+])
+def test_restricted_forms_and_grants(text, label, score):
+    found = licenses.scan(text, licenses.build_automaton())
+    assert label in found[5].split(",") and found[7] == score
+
+
 # fingerprints
 
 
