@@ -2,46 +2,33 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, release
-
-#: Edges for each task and checkpoint file, as long as that makes fewer than a shuffle would.
-EDGES_A_TASK = 50_000
-LEAST_TASKS = 8
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+from ..runtime import Scratch, cut
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); a component is its least node.
 
-    Every step only moves edges towards smaller nodes, within executors; each
-    round is cut into the checkpoint folder. Minima are cut too, so that their join
-    with a hub's edges is one of two exchanges, which Spark splits where it is
-    skewed. Rounds over few edges run in few tasks, so they leave few small files.
-    Loops and repeated edges make no difference.
+    Every step only moves edges towards smaller nodes, within executors, until all
+    are stars around a least node. Minima are written before they meet the edges, so
+    that the join has two plain exchanges, which Spark splits where a hub is skewed,
+    or a side whose size Spark knows. Loops and repeated edges make no difference.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    state = _state(edges)
-    for _ in range(max_rounds):
-        tasks = max(LEAST_TASKS, -(-state[0] // EDGES_A_TASK))
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # a hub that is its own minimum keeps its edges; others hand theirs on
-        large = cut(large.filter("a <> b").distinct().coalesce(tasks))
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = cut(small.filter("a <> b").distinct().coalesce(tasks))
-        before, state = state, _state(edges)
-        if state == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    release(edges.sparkSession)
-    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    with Scratch(edges.sparkSession, "components") as scratch:
+        edges = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges-0")
+        for n in itertools.count(1):
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") < F.col("a")).alias("below"), F.count_if(F.col("b") > F.col("a")).alias("above")), f"least-{n}")
+            if least.filter("below > 1 or below = 1 and above > 0").isEmpty():
+                return cut(least.select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+            large = both.join(least.select("a", F.least("a", "m").alias("m")), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            # a hub that is its own minimum keeps its edges; others hand theirs on
+            large = scratch.write(large.filter("a <> b").distinct(), f"large-{n}")
+            least = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")), f"small-{n}")
+            small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+            edges = scratch.write(small.filter("a <> b").distinct(), f"edges-{n}")
+            scratch.drop(f"edges-{n - 1}", f"least-{n}", f"large-{n}", f"small-{n}")

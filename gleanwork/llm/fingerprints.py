@@ -7,8 +7,10 @@ canonical forms that differ byte for byte, they get the digest and a rank, so
 fingerprints are equal exactly where canonical forms are.
 
 Null texts are empty texts. A null id counts as the largest id. Rows may repeat;
-of equal ids the order is that of a hash of the text. An empty table gives no
-rows. Other columns are ignored.
+of equal ids the order is that of a hash of the text, so ties have a fixed order. A
+very long text is one value in every stage. Rows of one id are in one range, which
+Spark sorts outside memory where it must. An empty table gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,9 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, release
+from ..runtime import Scratch, cut
 from .common import keyed, public_id
-from .scratch import Scratch
 
 LANES = 4
 ROWS_PER_RANGE = 2_048
@@ -127,7 +128,6 @@ def edit_probe(docs: DataFrame, bits: int = 64, rows_per_range: int = ROWS_PER_R
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     collided = scratch.write(buckets(docs, bits).filter("collided").select("digest"), "collided")
-    release(docs.sparkSession)  # the texts that were compared are shuffled again below
     rows = keyed(docs).withColumn("_canon", canonical(F.col("text"))).withColumn("digest", digest(F.col("_canon"), bits)).drop("_canon")
     both = with_next(rows, ["text", "digest"], rows_per_range)
     n = F.char_length("text")

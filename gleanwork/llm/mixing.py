@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..runtime import cut, fresh
 from .common import slices, texts_of, utf8
-from .textkit import split_words, sums, text_of_word, word_hashes
+from .textkit import digests, split_words, text_of_word
 from .vocabularies import byte_vocabulary, vocabulary_path
 
 TOPIC_BITS = 3
@@ -49,7 +49,7 @@ def lexical_topics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     """Words and topic of each text."""
     starts, ends, first = split_words(data, offsets)
     long = ends - starts >= 5
-    hashes = word_hashes(data, starts[long], ends[long])
+    hashes = digests(data, starts[long], ends[long])[0]
     text = text_of_word(first)[long]
     topic = np.zeros(len(offsets) - 1, np.int64)
     for bit in range(TOPIC_BITS):

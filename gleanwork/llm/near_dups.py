@@ -13,44 +13,50 @@ point, so two signatures agree in a slot with a probability that is the weighted
 Jaccard similarity. Points after the last slot's first are never made.
 
 Texts that share a band of slots are candidates. Each is first verified against
-the least text of its bucket. Buckets in which texts of several components remain
-are then verified in blocks, pair by pair between components only.
+the least text of its bucket. Of buckets in which texts of several components
+remain, the texts are then joined by an exact prefix filter: in an order of all
+elements, the rarer first, two texts alike enough share one of their first
+elements, and what follows it suffices. Pairs that the filter can't exclude, of
+different components, are verified. So neither a frequent passage nor a group of
+texts alike makes pairs of all its texts.
 
 Null texts are empty. A document without words is a class of its own. A null id
-is the largest id. Repeated rows fall into one class. An empty table gives no
-rows. near_duplicates() ignores other columns; keep_first() returns them untouched.
+is the largest id; of equal texts in a class the least id names it, so ties don't
+matter. Repeated rows fall into one class. A very long text is one row of all
+stages, with memory in proportion to it. An empty table gives no rows.
+near_duplicates() ignores other columns; keep_first() returns them untouched.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, fresh, release
+from ..runtime import Scratch, cut, fresh
 from .common import batch_of, keyed, public_id, slices, utf8
 from .components import components
-from .scratch import Scratch
-from .textkit import inside, mix, split_words, text_of_word, window_hashes, word_hashes
+from .textkit import digests, inside, mix, split_words, text_digests, text_of_word, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 a pair shares one of 36 bands of 6 slots but for 2 in 100,000.
 BANDS, ROWS = 36, 6
-#: Texts of a bucket that are compared in one task at a time.
-BLOCK = 256
+#: Counters by which the prefix filter tells rare elements; any number gives the same links.
+COUNTERS = 1 << 16
 _U = np.uint64
 
 SIGNED = pa.schema([("kid", pa.int64()), ("tid", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
-NODES = pa.schema([("node", pa.binary()), ("payload", pa.binary())])
+NODES = pa.schema([("id", pa.int64()), ("payload", pa.binary())])
+PREFIXES = pa.schema([("element", pa.int64()), ("id", pa.int64()), ("comp", pa.int64()), ("size", pa.int32()), ("rest", pa.int32())])
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, weight) of distinct shingles by text and hash, and a 128-bit digest of each text's words."""
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(text, hash, weight) of distinct shingles by text and hash, words of each text, and a digest of their sequence."""
     starts, ends, first = split_words(data, offsets)
-    words = word_hashes(data, starts, ends)
+    both = digests(data, starts, ends)
+    words = both[0]
     n = np.diff(first)
     text = text_of_word(first)
     at = inside(first, k)
@@ -65,13 +71,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[n
     new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
     at = np.flatnonzero(new)
     weight = np.diff(np.append(at, len(owner)))
-    digest = np.zeros((len(n), 2), np.uint64)
-    place = (np.arange(len(words)) - first[:-1][text]).astype(np.uint64)
-    for lane, lanes in enumerate((words, word_hashes(data, starts, ends, 1))):
-        terms = mix(lanes ^ mix(place + _U(1 + (lane << 40))))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
-        digest[:, lane] = mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64))
-    return owner[at], hashes[at], weight, n, digest
+    return owner[at], hashes[at], weight, n, text_digests(both, first)
 
 
 def signatures(owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n_texts: int, slots: int) -> np.ndarray:
@@ -119,8 +119,8 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(kid, tid, node, bands): node is the digest of the words, bands are empty without words."""
+def sign(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(kid, tid, node, bands) of rows (kid, tid, text): node is the digest of the words, bands are empty without words."""
 
     def run(batches):
         for batch in batches:
@@ -131,27 +131,19 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 h = band_hashes(signatures(owner, hashes, weight, hi - lo, bands * rows), bands, rows)
                 size = np.where(n > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[n > 0].ravel().view(np.int64)))
-                node = pa.Array.from_buffers(pa.binary(16), hi - lo, [None, pa.py_buffer(np.ascontiguousarray(digest).tobytes())]).cast(pa.binary())
-                yield batch_of(SIGNED, kid=kid.slice(lo, hi - lo), tid=tid.slice(lo, hi - lo), node=node, bands=lists)
+                yield batch_of(SIGNED, kid=kid.slice(lo, hi - lo), tid=tid.slice(lo, hi - lo), node=digest, bands=lists)
 
-    return keyed(docs).mapInArrow(run, "kid long, tid long, node binary, bands array<long>") if docs.columns != ["kid", "tid", "text"] else docs.mapInArrow(run, "kid long, tid long, node binary, bands array<long>")
+    return texts.mapInArrow(run, "kid long, tid long, node binary, bands array<long>")
 
 
-def pack_elements(hashes: np.ndarray, weight: np.ndarray) -> bytes:
-    """The multiset as a set of 40-bit elements: the k-th occurrence of a shingle is an element."""
+def elements(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The multiset as a set: the k-th occurrence of a shingle is an element."""
     occurrence = np.arange(weight.sum(), dtype=np.int64) - np.repeat(np.cumsum(weight) - weight, weight)
-    elements = np.unique(mix(np.repeat(hashes, weight) + occurrence.astype(np.uint64) * _U(0x9FB21C651E98DF25)) >> _U(24))
-    return elements.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpack_elements(payload: bytes) -> np.ndarray:
-    out = np.zeros((len(payload) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(payload, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    return np.unique(mix(np.repeat(hashes, weight) + occurrence.astype(np.uint64) * _U(0x9FB21C651E98DF25)))
 
 
 def payloads(texts: DataFrame) -> DataFrame:
-    """(node, payload) of rows (node, text)."""
+    """(id, payload) of rows (id, text): the elements as bytes."""
 
     def run(batches):
         for batch in batches:
@@ -159,145 +151,133 @@ def payloads(texts: DataFrame) -> DataFrame:
             for lo, hi in slices(offsets):
                 owner, hashes, weight, _, _ = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 at = np.searchsorted(owner, np.arange(hi - lo + 1))
-                out = [pack_elements(hashes[a:b], weight[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield batch_of(NODES, node=batch.column(0).slice(lo, hi - lo), payload=out)
+                out = [elements(hashes[a:b], weight[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield batch_of(NODES, id=batch.column(0).slice(lo, hi - lo), payload=out)
 
-    return texts.mapInArrow(run, "node binary, payload binary")
+    return texts.mapInArrow(run, "id long, payload binary")
 
 
-def alike(shared: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    return shared >= similarity * (a + b - shared) - 1e-9
+def _elements_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
 
 def verify(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b, pa, pb) whose payloads are alike, as (a, b)."""
-    links = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    """Of rows (a, b, pa, pb, ...) those whose payloads are alike, without payloads."""
+    rest = [c for c in pairs.columns if c not in ("pa", "pb")]
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = unpack_elements(x.as_py()), unpack_elements(y.as_py())
-                possible = min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9
-                keep.append(bool(possible and alike(len(x) + len(y) - len(np.union1d(x, y)), len(x), len(y), similarity)))
+            for x, y in zip(_elements_of(batch.column(0)), _elements_of(batch.column(1)), strict=True):
+                shared = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9 else 0
+                keep.append(bool(shared >= similarity * (len(x) + len(y) - shared) - 1e-9))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=links)
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[2:]], names=rest)
 
-    return pairs.select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary")
+    return pairs.select("pa", "pb", *rest).mapInArrow(run, ", ".join(f"{c} long" for c in rest))
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Common elements of each of left with each of right, by products of 0/1 matrices."""
-    every = np.concatenate([*left, *right]) if left and right else np.zeros(0, np.uint64)
-    values, codes = np.unique(every, return_inverse=True)
-    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
-    order = np.argsort(codes, kind="stable")
-    codes, row = codes[order], row[order]
-    out = np.zeros((len(left), len(right)), np.float32)
-    step = 8_192
-    for at in range(0, len(values), step):
-        lo, hi = np.searchsorted(codes, (at, at + step))
-        m = np.zeros((len(left) + len(right), min(step, len(values) - at)), np.float32)
-        m[row[lo:hi], codes[lo:hi] - at] = 1
-        out += m[: len(left)] @ m[len(left) :].T
-    return out.astype(np.int64)
+def with_payloads(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """Adds pa and pb to pairs (a, b, ...)."""
+    pairs = pairs.join(payload.select(F.col("id").alias("b"), F.col("payload").alias("pb")), "b")
+    return pairs.join(payload.select(F.col("id").alias("a"), F.col("payload").alias("pa")), "a")
 
 
-def links_between(nodes: list[bytes], comps: list[bytes], sides: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[bytes, bytes]]:
-    """Links between the components of a block that join them, at most one for each joining.
+def element_counts(payload: DataFrame) -> np.ndarray:
+    """How many elements fall on each counter, summed by partitions: a fixed number of sums."""
+    shift = _U(64 - COUNTERS.bit_length() + 1)
 
-    side 0 and 1 are the two blocks of a pair; all 0 is a block with itself.
-    """
-    left = [i for i, s in enumerate(sides) if s == 0]
-    right = [i for i, s in enumerate(sides) if s == 1] or left
-    size = np.array([len(s) for s in sets])
-    shared = _overlaps([sets[i] for i in left], [sets[i] for i in right])
-    ok = alike(shared, size[left][:, None], size[right][None, :], similarity)
-    root = {c: c for c in comps}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(ok), strict=True):
-        a, b = left[i], right[j]
-        if nodes[a] != nodes[b] and (x := find(comps[a])) != (y := find(comps[b])):
-            root[x] = y
-            out.append((nodes[a], nodes[b]))
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in _elements_of(batch.column(0)):
+                total += np.bincount(x >> shift, minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
+
+    found = payload.select("payload").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
-def find_links(bands: DataFrame, payload: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all that verified candidate pairs connect.
+def prefixes(rows: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(element, id, comp, size, rest) of the first elements of rows (id, comp, payload), the rarer first.
+
+    rest: how many elements follow. Of n elements the first n - ceil(similarity * n) + 1
+    hold one of any set that is alike enough.
+    """
+    shift = _U(64 - COUNTERS.bit_length() + 1)
+
+    def run(batches):
+        for batch in batches:
+            sets = _elements_of(batch.column(2))
+            size = np.array([len(x) for x in sets], np.int64)
+            first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+            every = [x[np.lexsort((x, counts[x >> shift]))[:n]] for x, n in zip(sets, first, strict=True)]
+            row = np.repeat(np.arange(len(sets)), first)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(first) - first, first)
+            flat = np.concatenate(every) if every else np.zeros(0, np.uint64)
+            yield batch_of(PREFIXES, element=pa.array(flat.view(np.int64)), id=batch.column(0).take(pa.array(row)), comp=batch.column(1).take(pa.array(row)), size=pa.array(size[row], pa.int32()), rest=pa.array(size[row] - place - 1, pa.int32()))
+
+    return rows.select("id", "comp", "payload").mapInArrow(run, "element long, id long, comp long, size int, rest int")
+
 
-    bands: (band, node) of buckets with several nodes; payload: (node, payload).
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b, ca, cb) of prefixes() in different components that size and place don't exclude."""
+    side = lambda s: rows.select("element", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "size", "rest")])
+    least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    alike = (least >= similarity * most - 1e-9) & (1 + F.least("rest_a", "rest_b") >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    met = side("a").join(side("b"), "element").filter((F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & alike)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb")).distinct()
+
+
+def classes(buckets: DataFrame, payload: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(id, comp) of texts that a chain of links joins to another, comp the same for all of a class.
+
+    buckets: (band, id, leader), the least id, of bands with several texts; payload: (id, payload).
     """
-    leaders = cut(bands.groupBy("band").agg(F.min("node").alias("leader")))
-    first = bands.join(leaders, "band").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.join(payload.select(F.col("node").alias("b"), F.col("payload").alias("pb")), "b").join(payload.select(F.col("node").alias("a"), F.col("payload").alias("pa")), "a")
-    links = cut(verify(first, similarity))
-    release(bands.sparkSession)
+    others = buckets.filter("id <> leader")
+    first = others.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = scratch.write(verify(with_payloads(first, payload), similarity), "links")
+    labels = components(links).withColumnsRenamed({"node": "id", "component": "comp"})
 
     # what remains: buckets whose other texts, all verified against the least, are of several components
-    labels = components(links)
-    labelled = bands.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-    rest = labelled.join(leaders, "band").filter("node <> leader").drop("leader")
-    sizes = rest.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
-    mixed = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum("members").alias("members"), F.max(F.struct("n", "comp")).alias("main")).filter("n > main.n")
-    once = mixed.groupBy("n", "members").agg(F.min(F.struct("band", "main")).alias("b"))  # equal buckets are compared once
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    plan = cut(once.select("b.band", F.col("b.main.comp").alias("main"), blocks(F.col("b.main.n")).alias("mains"), blocks(F.col("n") - F.col("b.main.n")).alias("others")))
-    # blocks of the largest component meet the other texts' blocks, and those each other;
-    # texts of the largest component don't meet, so a big group costs no pairs of its own
-    placed = rest.join(plan, "band").withColumn("of_main", F.col("comp") == F.col("main"))
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    pair = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    mine = F.col("mine")
-    as_main = F.transform(upto("others"), lambda o: pair("main", mine, o, F.lit(0)))
-    as_other = F.concat(
-        F.transform(upto("mains"), lambda m: pair("main", m, mine, F.lit(1))),
-        F.transform(upto("others"), lambda o: pair("other", F.least(o, mine), F.greatest(o, mine), F.when(mine <= o, 0).otherwise(1))),
-    )
-    dealt = placed.select("band", "node", "comp", F.explode(F.when(F.col("of_main"), as_main).otherwise(as_other)).alias("at")).select("band", "node", "comp", "at.*")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["comp"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []})
-        found = links_between(list(map(bytes, pdf["node"])), list(map(bytes, pdf["comp"])), pdf["side"].tolist(), [unpack_elements(p) for p in pdf["payload"]], similarity)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    more = dealt.join(payload, "node").groupBy("band", "kind", "i", "j").applyInPandas(compare, "a binary, b binary")
-    return links.union(cut(more))
-
-
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    labelled = scratch.write(others.join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp")), "labelled")
+    mixed = scratch.write(labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band"), "mixed")
+    rows = scratch.write(labelled.join(mixed, "band").select("id", "comp").distinct().join(payload, "id"), "rows")
+    near = scratch.write(prefixes(rows, element_counts(rows), similarity), "prefixes")
+    pairs = scratch.write(prefix_pairs(near, similarity), "pairs")
+    more = scratch.write(verify(with_payloads(pairs, payload), similarity).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "more")
+    if more.isEmpty():
+        return labels
+    joined = components(more).withColumnsRenamed({"node": "comp", "component": "new"})
+    every = labels.unionByName(joined.select(F.col("comp").alias("id"), "comp")).distinct()
+    return every.join(joined, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(kid, tid, class_kid, class_tid) of each row of docs: the least kid and tid of its class."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
     texts = keyed(docs, id_col, text_col)
-    signed = scratch.write(sign(texts, bands, rows), "signed")
-    nodes = signed.groupBy("node").agg(F.min(F.struct("kid", "tid")).alias("first"))
-    # the bands of a node are those of any of its rows
-    flat = signed.select("node", F.explode("bands").alias("band")).distinct()
-    shared = flat.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    buckets = scratch.write(flat.join(shared, "band").select("band", "node"), "buckets")
-    release(spark)
-    wanted = buckets.select("node").distinct().join(nodes, "node").select("node", "first.kid", "first.tid")
-    payload = scratch.write(payloads(texts.join(wanted.hint("shuffle_hash"), ["kid", "tid"]).dropDuplicates(["node"]).select("node", "text")), "payloads")
-    release(spark)
-    labels = components(find_links(buckets, payload, similarity, block))
-    members = nodes.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    # a text without words has one node for all, but is alone in its class
-    classes = cut(members.groupBy("class").agg(F.min("first").alias("least")))
-    named = cut(members.join(classes, "class").select("node", "least"))
-    out = signed.select("kid", "tid", "node", (F.size("bands") == 0).alias("bare")).join(named, "node")
-    out = cut(out.select("kid", "tid", *[F.when(F.col("bare"), F.col(c)).otherwise(F.col(f"least.{c}")).alias(f"class_{c}") for c in ("kid", "tid")]))
-    scratch.close()
-    release(spark)
-    return out
+    with Scratch(docs.sparkSession, "near") as scratch:
+        signed = scratch.write(sign(texts, bands, rows), "signed")
+        # one row for each distinct text; its number is fixed once it is written
+        nodes = signed.groupBy("node").agg(F.min(F.struct("kid", "tid")).alias("first"), F.any_value("bands").alias("bands"))
+        nodes = scratch.write(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+        flat = nodes.select("id", F.explode("bands").alias("band"))
+        shared = scratch.write(flat.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").select("band", "leader"), "shared")
+        buckets = scratch.write(flat.join(shared, "band").select("band", "id", "leader"), "buckets")
+        wanted = scratch.write(buckets.select("id").distinct().join(nodes, "id").select("id", "first.kid", "first.tid"), "wanted")
+        found = texts.join(wanted.hint("shuffle_hash"), ["kid", "tid"]).dropDuplicates(["kid", "tid"])
+        payload = scratch.write(payloads(found.select("id", "text")), "payloads")
+        labels = classes(buckets, payload, similarity, scratch)
+        members = nodes.join(labels, "id", "left").select("node", "first", F.coalesce("comp", "id").alias("comp"))
+        members = scratch.write(members, "members")
+        least = scratch.write(members.groupBy("comp").agg(F.min("first").alias("least")), "least")
+        named = scratch.write(members.join(least, "comp").select("node", "least"), "named")
+        # texts without words have one node, but each is alone in its class
+        out = signed.select("kid", "tid", "node", (F.size("bands") == 0).alias("bare")).join(named, "node")
+        return cut(out.select("kid", "tid", *[F.when(F.col("bare"), F.col(c)).otherwise(F.col(f"least.{c}")).alias(f"class_{c}") for c in ("kid", "tid")]))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -307,11 +287,14 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of docs for each class: the one with the least id."""
-    first = classify(docs.select(id_col, text_col), id_col, text_col, **options).filter("kid = class_kid and tid = class_tid").select("kid", "tid").distinct()
-    kid, tid, rank = (fresh(docs, c) for c in ("_kid", "_tid", "_rank"))
+    first = classify(docs.select(id_col, text_col), id_col, text_col, **options).filter("kid = class_kid and tid = class_tid")
+    kid, tid, n = (fresh(docs, c) for c in ("_kid", "_tid", "_n"))
+    first = cut(first.groupBy(F.col("kid").alias(kid), F.col("tid").alias(tid)).agg(F.count("*").alias(n)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = docs.withColumn(kid, F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn(tid, F.xxhash64(text))
-    kept = named.join(first.select(F.col("kid").alias(kid), F.col("tid").alias(tid)).hint("shuffle_hash"), [kid, tid], "left_semi")
-    # of rows that repeat an id and its text one stays
-    order = Window.partitionBy(kid, tid).orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)
+    once = named.join(first.filter(F.col(n) == 1).hint("shuffle_hash"), [kid, tid], "left_semi").select(*docs.columns)
+    # of rows that repeat an id and its text one stays; copies meet as one row for each task
+    row = fresh(docs, "_row")
+    many = named.join(first.filter(F.col(n) > 1), [kid, tid], "left_semi")
+    many = many.groupBy(kid, tid).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row))
+    return once.unionByName(many.select(f"{row}.*"))

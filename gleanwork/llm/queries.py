@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import attach
+from ..runtime import Scratch, attach, cut
 from . import attribution, classifier, fertility, fingerprints, licenses, mixing, near_dups, packing, substrings, warc
 
 
@@ -39,8 +39,10 @@ def op6_source_mixing(spark, sf_dir):
 
 
 def op7_warc(spark, sf_dir):
-    found = warc.read_archives(warc.write_archives(_read(spark, sf_dir, "pages"), min_payload=0))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = _read(spark, sf_dir, "pages")
+    with Scratch(spark, "warc") as archives:
+        found = warc.read_archives(warc.write_archives(pages, min_payload=0, scratch=archives))
+        return cut(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def op8_quality_rules(spark, sf_dir):

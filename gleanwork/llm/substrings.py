@@ -7,40 +7,44 @@ input, not on what is left.
 The fingerprint of a window is the least hash among its nine shingles of five
 words, so equal windows have equal fingerprints and neighbours mostly share one:
 a document has about a fifth as many as words. The index keeps sorted, immutable
-runs of (fingerprint, owner). A new batch is merge-joined with the runs: a
-fingerprint in two documents makes both candidates. Only then are candidates'
-windows verified by 128-bit digests of all their words, and the least id of each
-digest is looked up. The batch is appended as a run; runs beyond a number are
-compacted into one.
+runs in buckets: fingerprints with their owner, and the windows of fingerprints that
+several documents have. A new batch becomes a run of its own, which is
+merge-joined with the earlier ones without moving them. Where a fingerprint has
+a second owner, the windows of both are compared by 128-bit digests of all their
+words, and go into a run. Too many runs are compacted into one. A lasting index,
+in a folder of its own, is opened again by later sessions.
 
 Documents of equal words are compared by the digest of all their words, and
 beyond the first only counted. Null texts have no words. A null id is the largest
-id. Rows that repeat an id don't remove each other's words. An empty table gives
-no rows. The report ignores other columns; remove_repeats() returns them untouched.
+id. Rows that repeat an id don't remove each other's words, so ties remove nothing.
+A very long text is one row of every stage, with memory in proportion to it. An
+empty table gives no rows. The report ignores other columns; remove_repeats()
+returns them untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, fresh, release
-from .common import batch_of, keyed, public_id, slices, utf8
-from .scratch import Scratch
-from .textkit import covered, inside, mix, split_words, text_of_word, window_hashes, word_hashes
+from ..runtime import Scratch, cut, delete, fresh
+from .common import MAX_LONG, batch_of, public_id, slices, utf8
+from .textkit import covered, digests, inside, mix, split_words, text_digests, text_of_word, window_hashes
 
 WINDOW = 13
 SHINGLE = 5
-BATCHES = 2
-MAX_RUNS = 4
+#: Batches of ascending ids that a call adds to its index, and runs that an add meets at most.
+BATCHES = 3
+MAX_RUNS = 1
 
-ANCHORS = pa.schema([("kid", pa.int64()), ("rid", pa.int64()), ("copy_a", pa.int64()), ("copy_b", pa.int64()), ("n_words", pa.int64()), ("anchors", pa.list_(pa.int64()))])
-WINDOWS = pa.schema([("wa", pa.int64()), ("wb", pa.int64()), ("kid", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32())])
-_U = np.uint64
+ANCHORS = pa.schema([("rid", pa.int64()), ("kid", pa.int64()), ("copy", pa.binary()), ("n_words", pa.int64()), ("anchors", pa.list_(pa.int64()))])
+WINDOWS = pa.schema([("wa", pa.int64()), ("wb", pa.int64()), ("rid", pa.int64()), ("kid", pa.int64()), ("pos", pa.int32())])
 
 
 def window_anchors(words: np.ndarray) -> np.ndarray:
@@ -58,25 +62,8 @@ def window_anchors(words: np.ndarray) -> np.ndarray:
     return np.minimum(least[:n], least[reach - size : reach - size + n])
 
 
-def text_digests(lanes: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
-    """Digests of the word sequence of each text, one for each lane of word hashes."""
-    n = np.diff(first).astype(np.uint64)
-    place = (np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
-    out = []
-    for lane, words in enumerate(lanes):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words ^ mix(place + _U(1 + (lane << 40)))))])
-        out.append(mix(total[first[1:]] - total[first[:-1]] + n).view(np.int64))
-    return out
-
-
-def rows_with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kid, rid, text); rid stands for the id and the text."""
-    rows = keyed(docs, id_col, text_col)
-    return rows.select("kid", F.xxhash64("kid", "tid").alias("rid"), "text")
-
-
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """(kid, rid, copy_a, copy_b, n_words, anchors) of rows (kid, rid, text)."""
+    """(rid, kid, copy, n_words, anchors) of rows (rid, kid, text)."""
 
     def run(batches):
         for batch in batches:
@@ -84,10 +71,9 @@ def fingerprint(rows: DataFrame) -> DataFrame:
             for lo, hi in slices(offsets):
                 part, cuts = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, first = split_words(part, cuts)
-                words = word_hashes(part, starts, ends)
-                copy_a, copy_b = text_digests([words, word_hashes(part, starts, ends, 1)], first)
+                words = digests(part, starts, ends)
                 at, text = inside(first, WINDOW), text_of_word(first)
-                found, owner = window_anchors(words), text[at]
+                found, owner = window_anchors(words[0]), text[at]
                 found = found[at] if len(at) else np.zeros(0, np.uint64)
                 # neighbours share an anchor: keep it once, then once for each text
                 new = np.ones(len(at), bool)
@@ -99,68 +85,13 @@ def fingerprint(rows: DataFrame) -> DataFrame:
                 new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
                 found, owner = found[new], owner[new]
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32)), pa.array(found.view(np.int64)))
-                yield batch_of(ANCHORS, kid=batch.column(0).slice(lo, hi - lo), rid=batch.column(1).slice(lo, hi - lo), copy_a=pa.array(copy_a), copy_b=pa.array(copy_b), n_words=pa.array(np.diff(first)), anchors=lists)
-
-    return rows.mapInArrow(run, "kid long, rid long, copy_a long, copy_b long, n_words long, anchors array<long>")
-
-
-class FingerprintIndex:
-    """Sorted immutable runs of (key, owner) in a folder of the shared store."""
-
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs = spark, max_runs
-        self.scratch = Scratch(spark, "runs")
-        self.runs: list[str] = []
-        self.made = 0
-
-    def history(self) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.scratch.folder}/{r}" for r in self.runs]) if self.runs else None
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Merge-joins a batch (key, rid) with all runs, then appends it as a run.
-
-        Returns (rid, key) of all rows, of the batch or before it, that share a key
-        with another rid and were not returned earlier.
-        """
-        keys = batch.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-        past = self.history()
-        if past is None:
-            met = keys.withColumn("owner", F.lit(None).cast("long")).withColumn("known", F.lit(False))
-        else:
-            met = keys.join(past.select("key", "owner", F.lit(True).alias("known")).hint("merge"), "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        met = self.scratch.write(met, f"met-{self.made}")
-        # a rid that was returned with its key is no owner any more
-        shared = met.filter("known or lo <> hi")
-        own = batch.join(shared.select("key"), "key").select("rid", "key")
-        theirs = shared.filter("owner is not null").select(F.col("owner").alias("rid"), "key")
-        found = cut(own.union(theirs))
-        self._append(met.filter("not known").select("key", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("owner")))
-        self.scratch.drop(f"met-{self.made - 1}")
-        if len(self.runs) > self.max_runs:
-            self.compact()
-        release(self.spark)
-        return found
-
-    def _append(self, run: DataFrame) -> None:
-        name = f"run-{self.made}"
-        self.made += 1
-        self.scratch.write(run.sortWithinPartitions("key"), name)
-        self.runs.append(name)
-
-    def compact(self) -> None:
-        """One run of all; the old ones go when it is written."""
-        old, everything = self.runs, self.history()
-        self.runs = []
-        self._append(everything.repartitionByRange("key"))
-        for name in old:
-            self.scratch.drop(name)
+                yield batch_of(ANCHORS, rid=batch.column(0).slice(lo, hi - lo), kid=batch.column(1).slice(lo, hi - lo), copy=text_digests(words, first), n_words=pa.array(np.diff(first)), anchors=lists)
 
-    def close(self) -> None:
-        self.scratch.close()
+    return rows.mapInArrow(run, "rid long, kid long, copy binary, n_words long, anchors array<long>")
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """(wa, wb, kid, rid, pos) of the windows whose anchor is among a row's keys, from (kid, rid, text, keys)."""
+    """(wa, wb, rid, kid, pos) of the windows whose anchor is among a row's keys, from (rid, kid, text, keys)."""
 
     def run(batches):
         for batch in batches:
@@ -169,61 +100,225 @@ def windows(texts: DataFrame) -> DataFrame:
             for lo, hi in slices(offsets, 2 << 20):
                 part, cuts = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, first = split_words(part, cuts)
-                words = word_hashes(part, starts, ends)
+                words = digests(part, starts, ends)
                 at = inside(first, WINDOW)
                 if not len(at):
                     continue
                 owner = text_of_word(first)[at]
                 keys = lists.slice(lo, hi - lo)
                 key = mix(np.asarray(keys.flatten()).view(np.uint64) ^ mix(np.repeat(np.arange(hi - lo), np.asarray(keys.value_lengths())).astype(np.uint64)))
-                hit = np.isin(mix(window_anchors(words)[at] ^ mix(owner.astype(np.uint64))), key)
+                hit = np.isin(mix(window_anchors(words[0])[at] ^ mix(owner.astype(np.uint64))), key)
                 at, owner = at[hit], owner[hit]
-                wa, wb = (window_hashes(w, WINDOW)[at] for w in (words, word_hashes(part, starts, ends, 1)))
-                kid, rid = (np.asarray(batch.column(i).slice(lo, hi - lo))[owner] for i in (0, 1))
-                yield batch_of(WINDOWS, wa=pa.array(wa.view(np.int64)), wb=pa.array(wb.view(np.int64)), kid=pa.array(kid), rid=pa.array(rid), pos=pa.array((at - first[:-1][owner]).astype(np.int32)))
+                wa, wb = (window_hashes(w, WINDOW)[at] for w in words)
+                rid, kid = (np.asarray(batch.column(i).slice(lo, hi - lo))[owner] for i in (0, 1))
+                yield batch_of(WINDOWS, wa=pa.array(wa.view(np.int64)), wb=pa.array(wb.view(np.int64)), rid=pa.array(rid), kid=pa.array(kid), pos=pa.array((at - first[:-1][owner]).astype(np.int32)))
+
+    return texts.select("rid", "kid", "text", "keys").mapInArrow(run, "wa long, wb long, rid long, kid long, pos int")
+
+
+class FingerprintIndex:
+    """Runs in a folder of the shared store. `folder`: that of a lasting index, which may exist; else one that close() removes.
 
-    return texts.select("kid", "rid", "text", "keys").mapInArrow(run, "wa long, wb long, kid long, rid long, pos int")
+    keys-*     (key, rid, many): a fingerprint and its owner, or that it has several
+    windows-*  (wa, wb, kid, most): windows of fingerprints with several owners, the least and the largest id
+    copies-*   (copy, kid, first, n): the words of a whole text, the least id, a row of it, and how many rows
+    texts-*    rows of each batch under their number rid; these are not compacted
 
+    A run counts from the moment that a file names it, so an add that fails leaves the
+    index as it was.
+    """
 
-def _batch_ends(rows: DataFrame, batches: int) -> list[int]:
-    at = rows.agg(F.percentile_approx("kid", [i / batches for i in range(1, batches)], 10_000).alias("p")).first()["p"] if batches > 1 else []
-    return sorted(set(at or []))
+    BY = {"keys": ["key"], "windows": ["wa", "wb"], "copies": ["copy"], "texts": ["rid"]}
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, max_runs: int = MAX_RUNS, buckets: int | None = None):
+        self.spark, self.max_runs, self.lasting = spark, max_runs, folder is not None
+        self.work = Scratch(spark, "substrings")
+        self.folder = folder.rstrip("/") if folder else f"{self.work.folder}/index"
+        self.name = f"gleanwork_{uuid.uuid4().hex}"
+        self.tables: dict[str, DataFrame] = {}
+        state = self._state()
+        self.buckets = state.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.batches, self.generation = state.get("batches", 0), state.get("generation", 0)
+        self.runs: dict[str, list[str]] = state.get("runs", {kind: [] for kind in self.BY})
+        for kind, names in self.runs.items():
+            for name in names:
+                self._open(kind, name, state["schemas"][name])
+
+    # what counts
+
+    def _state(self) -> dict:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in store.listStatus(path)] if store.exists(path) else []
+        last = max((n for n in names if n.startswith("state-") and store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))), default=None)
+        return json.loads(self.spark.read.text(f"{self.folder}/{last}").first()["value"]) if last else {}
+
+    def _commit(self) -> None:
+        self.generation += 1
+        if not self.lasting:
+            return
+        said = json.dumps({"buckets": self.buckets, "batches": self.batches, "generation": self.generation, "runs": self.runs, "schemas": {n: t.schema.toDDL() for n, t in self.tables.items()}})
+        self.spark.createDataFrame([(said,)], "value string").coalesce(1).write.text(f"{self.folder}/state-{self.generation:09d}")
+
+    # tables in buckets
+
+    def _open(self, kind: str, name: str, schema: str) -> None:
+        by, table = ", ".join(self.BY[kind]), f"{self.name}_{name.replace('-', '_')}"
+        sort = "" if kind == "texts" else f"SORTED BY ({by})"
+        self.spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({by}) {sort} INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+        self.tables[name] = self.spark.table(table)
+
+    def _write(self, kind: str, rows: DataFrame) -> DataFrame:
+        """A table in buckets of its key. rows: dealt by that key, as after a groupBy(), where partitions are as many as buckets."""
+        by, name = self.BY[kind], f"{kind}-{self.generation:06d}-{uuid.uuid4().hex[:8]}"
+        if kind == "texts" or int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            rows = rows.repartition(self.buckets, *by)
+        writer = rows.write.format("parquet").option("path", f"{self.folder}/{name}").option("parquet.block.size", 16 << 20).bucketBy(self.buckets, *by)
+        table = f"{self.name}_{name.replace('-', '_')}"
+        (writer if kind == "texts" else writer.sortBy(*by)).saveAsTable(table)
+        self.runs[kind].append(name)
+        self.tables[name] = self.spark.table(table)
+        return self.tables[name]
+
+    def _forget(self, kind: str, names: list[str]) -> None:
+        self.runs[kind] = [n for n in self.runs[kind] if n not in names]
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{name.replace('-', '_')}")
+            self.tables.pop(name, None)
+
+    def _of(self, kind: str) -> list[DataFrame]:
+        return [self.tables[n] for n in self.runs[kind]]
+
+    def _meet(self, kind: str, new: DataFrame, older: list[DataFrame], columns: list[str]) -> DataFrame | None:
+        """Rows of older runs under keys of the new one, by a merge join of buckets for each run."""
+        by = self.BY[kind]
+        out = None
+        for run in older:
+            met = new.select(*by).hint("merge").join(run, by).select(*by, *columns)
+            out = met if out is None else out.unionByName(met)
+        return out
 
+    def compact(self) -> None:
+        """One run of each kind instead of all; the old ones go once the new ones count."""
+        merged = {
+            "keys": lambda d: d.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.bool_or("many").alias("m")).select("key", F.col("lo").alias("rid"), (F.col("m") | (F.col("lo") != F.col("hi"))).alias("many")),
+            "windows": lambda d: d.groupBy("wa", "wb").agg(F.min("kid").alias("kid"), F.max("most").alias("most")),
+            "copies": lambda d: d.groupBy("copy").agg(F.min("kid").alias("kid"), F.min_by("first", "kid").alias("first"), F.sum("n").alias("n")),
+        }
+        old = {kind: list(self.runs[kind]) for kind in merged}
+        for kind, merge in merged.items():
+            every = None
+            for run in self._of(kind):
+                every = run if every is None else every.unionByName(run)
+            if every is not None:
+                self._write(kind, merge(every))
+        for kind, names in old.items():
+            self._forget(kind, names)
+        self._commit()
+        for names in old.values():
+            for name in names:
+                delete(self.spark, f"{self.folder}/{name}")
+
+    # a batch
+
+    def add(self, rows: DataFrame, id_col: str = "kid", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+        """Adds a batch: its rows under numbers `rid`, and (rid, starts, all_words) of those that lose words.
+
+        starts: first words of the windows to remove; all_words: whether the whole text
+        goes, as a copy of one with a smaller id. Columns of rows pass through, beside
+        rid, kid and text (of which rows must not have other ones).
+        """
+        if len(self.runs["keys"]) > self.max_runs:
+            self.compact()
+        work, mark = self.work, f"{self.generation}-"
+        older = {kind: self._of(kind) for kind in self.BY}
+        first_rid = self.batches << 52  # partition and place of a row in a batch take 52 bits
+        texts = self._write("texts", rows.withColumn("rid", F.monotonically_increasing_id() + F.lit(first_rid)))
+        printed = work.write(fingerprint(texts.select("rid", "kid", "text")), mark + "printed")
+
+        # texts of equal words: the first of the least id stands for all
+        long = printed.filter(F.col("n_words") >= WINDOW).select("rid", "kid", "copy")
+        groups = self._write("copies", long.groupBy("copy").agg(F.min("kid").alias("kid"), F.min_by("rid", "kid").alias("first"), F.count("*").alias("n")))
+        known = self._meet("copies", groups, older["copies"], ["kid"])
+        several = groups.filter("n > 1").select("copy", "kid", "first")
+        if known is not None:
+            known = known.groupBy("copy").agg(F.min("kid").alias("known"))
+            several = several.unionByName(groups.join(known, "copy").select("copy", F.least("kid", "known").alias("kid"), F.when(F.col("kid") <= F.col("known"), F.col("first")).alias("first")))
+            several = several.groupBy("copy").agg(F.min("kid").alias("kid"), F.max("first").alias("first"))
+        several = work.write(several.withColumnRenamed("kid", "least"), mark + "several")
+        others = work.write(long.join(several, "copy").filter("kid > least or rid <> first").select("rid", (F.col("kid") > F.col("least")).alias("all_words"), "first"), mark + "others")
+
+        owned = printed.filter(F.size("anchors") > 0).join(others.select("rid"), "rid", "left_anti").select("rid", F.explode("anchors").alias("key"))
+        keys = owned.groupBy("key").agg(F.min("rid").alias("rid"), F.max("rid").alias("hi")).select("key", "rid", (F.col("rid") != F.col("hi")).alias("many"))
+        keys = self._write("keys", keys)
+        known = self._meet("keys", keys, older["keys"], ["rid", "many"])
+        shared = keys.filter("many").select("key", F.lit(None).cast("long").alias("owner"))
+        if known is not None:
+            # an owner that is alone so far brings its windows now; several have done so before
+            known = known.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.bool_or("many").alias("m"))
+            known = known.select("key", F.when(~F.col("m") & (F.col("lo") == F.col("hi")), F.col("lo")).alias("owner"))
+            shared = shared.unionByName(known).groupBy("key").agg(F.max("owner").alias("owner"))
+        shared = work.write(shared, mark + "shared")
+        met = owned.join(shared.select("key"), "key").select("rid", "key").union(shared.filter("owner is not null").select("owner", "key"))
+        lists = work.write(met.groupBy("rid").agg(F.collect_list("key").alias("keys")), mark + "lists")
+        every = None
+        for table in [texts, *older["texts"]]:
+            some = windows(table.join(lists.hint("shuffle_hash"), "rid"))
+            every = some if every is None else every.unionByName(some)
+        every = work.write(every, mark + "windows")
+        run = self._write("windows", every.groupBy("wa", "wb").agg(F.min("kid").alias("kid"), F.max("kid").alias("most")))
+        known = self._meet("windows", run, older["windows"], ["kid"])
+        if known is not None:
+            run = run.join(known.groupBy("wa", "wb").agg(F.min("kid").alias("known")), ["wa", "wb"], "left").withColumn("kid", F.least("kid", "known"))
+        # written, so that the join below meets two exchanges and Spark can split a hot window
+        least = work.write(run.filter("kid < most").select("wa", "wb", F.col("kid").alias("least")), mark + "least")
+        later = every.filter(F.col("rid") >= first_rid).join(least, ["wa", "wb"]).filter("kid > least")
+        lost = work.write(later.groupBy("rid").agg(F.collect_list("pos").alias("starts")), mark + "lost")
+        work.drop(*[mark + x for x in ("printed", "several", "shared", "lists", "windows", "least")])
+        self.batches += 1
+        self._commit()
+        again = others.filter("not all_words").select("rid", "first").join(lost.withColumnRenamed("rid", "first"), "first").select("rid", "starts")
+        out = lost.unionByName(again).withColumn("all_words", F.lit(False))
+        return texts, out.unionByName(others.filter("all_words").select("rid", F.array().cast("array<int>").alias("starts"), "all_words"))
+
+    def forget_runs(self) -> None:
+        """Removes all but the rows that were added: no batch can follow."""
+        for kind in ("keys", "windows", "copies"):
+            names = list(self.runs[kind])
+            self._forget(kind, names)
+            for name in names:
+                delete(self.spark, f"{self.folder}/{name}")
 
-def repeats(rows: DataFrame, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
-    """(rid, starts, all_words) of rows (kid, rid, text) that lose words.
+    def close(self) -> None:
+        """Ends the use of the tables; removes the folder unless the index is lasting. Results of add() go with it."""
+        for kind, names in list(self.runs.items()):
+            for name in list(names):
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{name.replace('-', '_')}")
+        self.work.close()
 
-    starts: first words of the windows to remove; all_words: whether the whole
-    text goes, as a copy of one with a smaller id.
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[DataFrame, dict[str, str]]:
+    """Rows (kid, text) and, if carried, the columns of docs under numbered names, which never clash; and these names."""
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)} if carry else {}
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kid = F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_LONG))
+    return docs.select(kid.alias("kid"), text.alias("text"), *[F.col(f"`{c}`").alias(n) for n, c in names.items() if c != text_col]), names
+
+
+def repeats(rows: DataFrame, index: FingerprintIndex, batches: int = BATCHES) -> DataFrame:
+    """rows (kid, text, ...) with starts and all_words, null where nothing is lost. See FingerprintIndex.add().
+
+    They are added in batches of ascending ids, or, to a lasting index, as one batch.
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "substrings")
-    printed = scratch.write(fingerprint(rows), "printed")
-    firsts = scratch.write(printed.filter(F.col("n_words") >= WINDOW).groupBy("copy_a", "copy_b").agg(F.min("kid").alias("least"), F.max("kid").alias("most")).filter("least < most").drop("most"), "firsts")
-    copies = printed.filter(F.col("n_words") >= WINDOW).select("kid", "rid", "copy_a", "copy_b").join(firsts, ["copy_a", "copy_b"]).filter("kid > least").select("rid").distinct()
-    copies = scratch.write(copies, "copies")
-    # later copies are settled, so they neither bring nor need windows
-    rest = scratch.write(printed.filter(F.size("anchors") > 0).join(copies, "rid", "left_anti").select("kid", "rid", "anchors"), "rest")
-    scratch.drop("printed")
-    index, ends = FingerprintIndex(spark, max_runs), _batch_ends(rest, batches)
-    found = None
+    at = rows.agg(F.percentile_approx("kid", [i / batches for i in range(1, batches)], 10_000).alias("p")).first()["p"] if batches > 1 and not index.lasting else []
+    ends, out = sorted(set(at or [])), None
     for low, high in zip([None, *ends], [*ends, None], strict=True):
-        part = rest.filter(F.lit(True) if low is None else F.col("kid") > low).filter(F.lit(True) if high is None else F.col("kid") <= high)
-        more = index.add(part.select("rid", F.explode("anchors").alias("key")))
-        found = more if found is None else found.union(more)
-    keys = scratch.write(found.groupBy("rid").agg(F.collect_set("key").alias("keys")), "keys")
-    index.close()
-    release(spark)
-    every = scratch.write(windows(rows.join(keys.hint("shuffle_hash"), "rid")), "windows")
-    release(spark)
-    # written, so that the join below meets two exchanges and Spark can split a hot window
-    least = scratch.write(every.groupBy("wa", "wb").agg(F.min("kid").alias("least"), F.max("kid").alias("most")).filter("least < most").drop("most"), "least")
-    release(spark)
-    later = every.join(least, ["wa", "wb"]).filter("kid > least")
-    out = later.groupBy("rid").agg(F.collect_set("pos").alias("starts")).withColumn("all_words", F.lit(False))
-    out = cut(out.unionByName(copies.select("rid", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("all_words"))))
-    scratch.close()
-    release(spark)
+        part = rows.filter(F.lit(True) if low is None else F.col("kid") > low).filter(F.lit(True) if high is None else F.col("kid") <= high)
+        texts, lost = index.add(part)
+        joined = texts.join(lost.hint("shuffle_hash"), "rid", "left")
+        out = joined if out is None else out.unionByName(joined)
+    if not index.lasting:
+        index.forget_runs()
     return out
 
 
@@ -240,10 +335,10 @@ def _kept(batch_text: pa.Array, starts: pa.Array, everything: pa.Array):
             yield len(words), 0, b" ".join(words)
 
 
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256."""
-    rows = rows_with_ids(docs, id_col, text_col)
-    lost = repeats(rows, **options)
+def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, max_runs: int = MAX_RUNS, folder: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256. `folder`: a lasting index to add docs to."""
+    index = FingerprintIndex(docs.sparkSession, folder, max_runs)
+    rows, _ = _numbered(docs, id_col, text_col, False)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
@@ -255,30 +350,30 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 digest.append(hashlib.sha256(text).hexdigest())
             yield batch_of(schema, doc_id=batch.column(0), n_words=n, n_removed=removed, kept_sha256=digest)
 
-    joined = rows.join(lost.hint("shuffle_hash"), "rid", "left").select(public_id(F.col("kid")).alias("doc_id"), "text", "starts", "all_words")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = repeats(rows, index, batches).select(public_id(F.col("kid")).alias("doc_id"), "text", "starts", "all_words")
+    out = cut(found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    index.close()
+    return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars", **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars", batches: int = BATCHES, max_runs: int = MAX_RUNS, folder: str | None = None) -> DataFrame:
     """docs with the kept words, joined by one space, as text; a text without loss stays as it is.
 
     n_chars, where docs has it, becomes the length of the new text. Documents of
-    which nothing is left go.
+    which nothing is left go. A null text stays null.
     """
-    lost = repeats(rows_with_ids(docs, id_col, text_col), **options)
-    rid, starts, whole = (fresh(docs, c) for c in ("_rid", "_starts", "_all"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.withColumn(rid, F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text)))
-    joined = named.join(lost.select(F.col("rid").alias(rid), F.col("starts").alias(starts), F.col("all_words").alias(whole)).hint("shuffle_hash"), rid, "left")
-    joined = joined.select(*docs.columns, starts, whole).filter(~F.coalesce(F.col(whole), F.lit(False)))
-    at, counted = docs.columns.index(text_col), docs.columns.index(n_chars_col) if n_chars_col in docs.columns else None
-    n = len(docs.columns)
+    was_null = fresh(docs, "_was_null")
+    rows, names = _numbered(docs.withColumn(was_null, F.col(text_col).isNull()), id_col, text_col, True)
+    found = repeats(rows, FingerprintIndex(docs.sparkSession, folder, max_runs), batches).filter(~F.coalesce("all_words", F.lit(False))).drop("rid", "kid", "all_words")
+    at, starts = found.columns.index("text"), found.columns.index("starts")
+    counted = next((found.columns.index(k) for k, c in names.items() if c == n_chars_col and k in found.columns), None)
 
     def run(batches):
         for batch in batches:
             columns = list(batch.columns)
             texts, chars, keep = [], [], []
-            for old, (_, removed, left), size in zip(columns[at], _kept(columns[at], columns[n], columns[n + 1]), columns[counted] if counted is not None else [None] * len(batch), strict=True):
+            nothing = pa.array([False] * len(batch))
+            for old, (_, removed, left), size in zip(columns[at], _kept(columns[at], columns[starts], nothing), columns[counted] if counted is not None else [None] * len(batch), strict=True):
                 new = left.decode() if removed else old.as_py()
                 texts.append(new)
                 chars.append(len(new) if removed else size.as_py() if size is not None else None)
@@ -286,6 +381,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns[at] = pa.array(texts, columns[at].type)
             if counted is not None:
                 columns[counted] = pa.array(chars, columns[counted].type)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in columns[:n]], names=batch.schema.names[:n])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in columns], names=batch.schema.names)
 
-    return joined.mapInArrow(run, docs.schema)
+    kept, own = found.mapInArrow(run, found.schema), {c: k for k, c in names.items()}
+    text = F.when(~F.col(own[was_null]), F.col("text")).cast(docs.schema[text_col].dataType)
+    return kept.select(*[(text if c == text_col else F.col(own[c])).alias(c) for c in docs.columns])

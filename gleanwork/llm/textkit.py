@@ -1,19 +1,21 @@
-"""Words, shingles and 64-bit hashes over whole batches of texts, in numpy.
+"""Words, shingles and their digests over whole batches of texts, in numpy.
 
-A word is a longest run of bytes outside 0x20 and 0x09-0x0D. All hashes are
-fixed functions of the bytes: no seed depends on the process.
+A word is a longest run of bytes outside 0x20 and 0x09-0x0D. A word's digest is
+BLAKE2b of its bytes, 128 bits as two 64-bit halves, so different words can be
+taken as different whoever wrote them. All hashes are fixed functions of the
+bytes: no seed depends on the process.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_TABLES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | _U(1)
-_BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,15 +25,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(lane: int, n: int) -> np.ndarray:
-    have = _POWERS.get(lane)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1024), _BASES[lane], np.uint64)
-        steps[0] = 1
-        _POWERS[lane] = have = np.multiply.accumulate(steps)
-    return have
-
-
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the n + 1 word offsets of the texts."""
     n = len(data)
@@ -49,27 +42,50 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two rows of 64-bit halves: BLAKE2b of each span. Spans are ascending and don't overlap.
+
+    Equal spans are told apart by their bytes first, so each distinct one is hashed once.
+    """
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    at = np.cumsum(size) - size
-    total = int(size.sum())
-    within = np.arange(total, dtype=np.int64) - np.repeat(at, size)
-    where = within + np.repeat(starts, size)
-    terms = _TABLES[lane][data[where]] * _powers(lane, int(size.max()))[within]
-    return mix(np.add.reduceat(terms, at) + size.astype(np.uint64) * _U(0xA24BAED4963EE407))
+        return np.zeros((2, 0), np.uint64)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    flat = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]).dictionary_encode()
+    distinct = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in spans.dictionary.to_numpy(zero_copy_only=False)])
+    return np.ascontiguousarray(np.frombuffer(distinct, np.uint64).reshape(-1, 2).T)[:, spans.indices.to_numpy()]
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _U(0xC2B2AE3D27D4EB4F) + b)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash for each k consecutive words; windows may cross texts (see inside())."""
+    """A hash for each k consecutive words of one half; windows may cross texts (see inside()).
+
+    Hashes of 1, 2, 4, ... words are put together, each step mixed.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = h * _U(0xC2B2AE3D27D4EB4F) + words[j : j + n]
-    return mix(h ^ _U(k))
+    out, at, power, size = None, 0, words, 1
+    while size <= k:
+        if k & size:
+            piece = power[at : at + n]
+            out, at = piece if out is None else _pair(out, piece), at + size
+        if 2 * size <= k:
+            power = _pair(power[:-size], power[size:])
+        size *= 2
+    return mix(out ^ _U(k))
+
+
+def text_digests(words: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """BLAKE2b of the word sequence of each text, from the words' digests."""
+    flat = np.ascontiguousarray(words.T).tobytes()
+    return [hashlib.blake2b(flat[16 * a : 16 * b], digest_size=16).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def text_of_word(first: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textkit import covered, inside, mix, split_words, sums, text_of_word, window_hashes, word_hashes
+from .textkit import covered, digests, inside, mix, split_words, sums, text_of_word, window_hashes
 
 # The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -26,13 +26,15 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _repeats(text: np.ndarray, hashes: np.ndarray, every: bool) -> np.ndarray:
-    """Flags of values that their text has twice or more: all of them, or all but the first."""
-    key = hashes ^ mix(text.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[order][1:] == key[order][:-1]
-    out = np.zeros(len(key), bool)
+def _repeats(text: np.ndarray, halves: list[np.ndarray], every: bool) -> np.ndarray:
+    """Flags of values that their text has twice or more: all of them, or all but the first.
+
+    halves: both 64-bit halves of the values' digests.
+    """
+    order = np.argsort(halves[0] ^ mix(text.astype(np.uint64) + np.uint64(1)), kind="stable")
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (text, *halves)])
+    out = np.zeros(len(order), bool)
     out[order] = (same[:-1] | same[1:]) if every else same[:-1]
     return out
 
@@ -45,10 +47,10 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     points = (data & 0xC0) != 0x80
     at = np.concatenate([np.zeros(1, np.int64), np.cumsum(points)])
     size = at[ends] - at[starts] if len(data) else np.zeros(0, np.int64)
-    hashes = word_hashes(data, starts, ends)
+    words = digests(data, starts, ends)
 
     windows = inside(first, REPEAT_WINDOW)
-    repeated = _repeats(text[windows], window_hashes(hashes, REPEAT_WINDOW)[windows], True) if len(windows) else np.zeros(0, bool)
+    repeated = _repeats(text[windows], [window_hashes(x, REPEAT_WINDOW)[windows] for x in words], True) if len(windows) else np.zeros(0, bool)
     repeat_words = covered(len(starts), windows[repeated], REPEAT_WINDOW) if len(windows) else np.zeros(len(starts), bool)
 
     # lines with a word: from a text's start or a \n to the next \n or the text's end
@@ -62,10 +64,10 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_words = np.searchsorted(starts, line_to) - np.searchsorted(starts, line_from)
     some = line_words > 0
     line_from, line_to, line_text = line_from[some], line_to[some], line_text[some]
-    dup = _repeats(line_text, word_hashes(data, line_from, line_to), False) if len(line_from) else np.zeros(0, bool)
+    dup = _repeats(line_text, list(digests(data, line_from, line_to)), False) if len(line_from) else np.zeros(0, bool)
     last_byte = data[ends[np.searchsorted(starts, line_to) - 1] - 1] if len(line_from) else np.zeros(0, np.uint8)
 
-    distinct = ~_repeats(text, hashes, False) if len(hashes) else np.zeros(0, bool)
+    distinct = ~_repeats(text, list(words), False) if len(text) else np.zeros(0, bool)
     count = lambda flags, of: np.bincount(of[flags], minlength=n)
     return {
         "n_words": np.diff(first),

@@ -10,7 +10,9 @@ The reader groups segments by the origin's record id, orders them by segment
 number, checks numbers and total length, and decodes the framing. Null payloads
 are empty. A null id is smaller than any; a repeated row is written as often as
 it occurs, and of repeated rows with the largest id each is a response. An empty
-table gives no archive and no rows. Other columns are ignored.
+table gives no archive and no rows. A very long payload is many segments, and one row
+once it is put together. Other columns are ignored. What can't be read as a record
+becomes a row of type `damaged` that says why, and reading goes on at the next record.
 """
 
 from __future__ import annotations
@@ -27,9 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, release
+from ..runtime import Scratch, cut
 from .common import batch_of
-from .scratch import Scratch
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -62,7 +63,10 @@ def decode_chunked(body: bytes) -> bytes:
         end = body.find(b"\r\n", at)
         if end < 0:
             raise ValueError("chunk size line is cut off")
-        size = int(body[at:end].split(b";")[0].strip() or b"x", 16)
+        digits = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", digits):
+            raise ValueError("no chunk size where one should stand")
+        size = int(digits, 16)
         at = end + 2
         if not size:
             return b"".join(out)
@@ -100,18 +104,28 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 def parse_archive(content: bytes):
-    """(headers in lower case, block) of each record; gzip members or plain records."""
-    at = 0
-    while at < len(content):
-        if content[at : at + 2] == b"\x1f\x8b":
-            data, at = _member(content, at)
-            inner = 0
-            while inner < len(data):
+    """(headers in lower case, block, problem) of each record; gzip members or plain records.
+
+    problem: null, or why bytes are no record; one row for each stretch of such bytes,
+    with its place in the archive as the header `at`.
+    """
+    at, broken = 0, False
+    while 0 <= at < len(content):
+        packed = content[at : at + 2] == b"\x1f\x8b"
+        try:
+            data, after = _member(content, at) if packed else (content, at)
+            inner = 0 if packed else at
+            while inner < len(data) and (packed or inner == at):
                 headers, block, inner = _plain(data, inner)
-                yield headers, block
-        else:
-            headers, block, at = _plain(content, at)
-            yield headers, block
+                broken = False
+                yield headers, block, None
+            at = after if packed else inner
+        except (ValueError, zlib.error) as e:
+            if not broken:
+                yield {"at": str(at)}, b"", str(e)
+            broken = True
+            starts = [x for x in (content.find(b"\x1f\x8b\x08", at + 1), content.find(b"WARC/1.", at + 1)) if x > 0]
+            at = min(starts, default=-1)
 
 
 def _member(content: bytes, at: int) -> tuple[bytes, int]:
@@ -132,6 +146,8 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record where one should begin")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    if not re.fullmatch(r"\d{1,18}", headers.get("content-length", "")):
+        raise ValueError("no Content-Length that is a number")
     size = int(headers["content-length"])
     block = data[end + 4 : end + 4 + size]
     if len(block) != size:
@@ -150,8 +166,8 @@ def decode_block(block: bytes) -> bytes | int:
     return body
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """(archive, content): parts of archives, a table in the shared checkpoint folder that stays."""
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0, segment_bytes: int = SEGMENT_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """(archive, content): parts of archives, a table in the shared folder, of `scratch` if one is given."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("sha"))
     groups = cut(rows.groupBy("sha").agg(F.max("id").alias("response_id")))  # cut, so that Spark can split the join of a hot payload
@@ -176,56 +192,73 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             if data:
                 yield batch_of(ARCHIVE, archive=[f"{where}-{task:06d}-{part:05d}.warc.gz"], content=[b"".join(data)])
 
-    archives = Scratch(pages.sparkSession, "warc").write(dealt.mapInArrow(run, "archive string, content binary"), "archives")
-    release(pages.sparkSession)  # the payloads' shuffle files are done with
-    return archives
+    scratch = scratch or Scratch(pages.sparkSession, "warc")
+    return scratch.write(dealt.mapInArrow(run, "archive string, content binary"), "archives")
+
+
+def _row(headers: dict[str, str], block: bytes, problem: str | None, archive: str) -> tuple | None:
+    """A row of RECORD; None for types that carry no page."""
+    kind, own = headers.get("warc-type"), headers.get("warc-segment-origin-id") or headers.get("warc-record-id")
+    if not problem:
+        if kind not in ("response", "revisit", "continuation"):
+            return None
+        numbers = [headers.get(k) for k in ("warc-segment-number", "warc-segment-total-length")]
+        if not own:
+            problem = "no record id"
+        elif any(x is not None and not re.fullmatch(r"\d{1,9}" if i == 0 else r"\d{1,18}", x) for i, x in enumerate(numbers)):
+            problem = "a segment header is no number"
+    if problem:
+        return own or f"{archive}@{headers.get('at', '')}", "damaged", 0, None, None, None, None, problem, b""
+    number, total = (int(x) if x is not None else None for x in numbers)
+    return own, kind, number or 0, total, headers.get("warc-refers-to"), headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, None, None, block
 
 
 def read_archives(archives: DataFrame, content_col: str = "content") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, problem, payload of each page.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, problem, payload, record_id, refers_to_id of each page.
 
     problem: why a record's segments, length, framing or digest don't hold, else null.
-    payload: null for a revisit.
+    payload: null for a revisit. page_id and refers_to are null for records that
+    write_archives() hasn't named; record_id and refers_to_id are as written. A record
+    that is read twice, as in two copies of an archive, counts once.
     """
 
     def parse(batches):
         for batch in batches:
             for content in batch.column(0):
-                out = {name: [] for name in RECORD.names}
-                size = 0
-                for headers, block in parse_archive(content.as_py()):
-                    kind = headers.get("warc-type")
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
-                    number = int(headers.get("warc-segment-number", 0))
-                    row = (headers.get("warc-segment-origin-id") or headers["warc-record-id"], kind, number, int(headers["warc-segment-total-length"]) if "warc-segment-total-length" in headers else None, headers.get("warc-refers-to"), headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, None, None, block)
-                    for name, value in zip(RECORD.names, row, strict=True):
-                        out[name].append(value)
-                    size += len(block)
+                content = content.as_py() or b""
+                archive = f"damaged:{hashlib.sha1(content).hexdigest()}"
+                out, size = [], 0
+                for headers, block, problem in parse_archive(content):
+                    if row := _row(headers, block, problem, archive):
+                        out.append(row)
+                        size += len(block)
                     if size >= PART_BYTES:
-                        yield batch_of(RECORD, **out)
-                        out, size = {name: [] for name in RECORD.names}, 0
-                yield batch_of(RECORD, **out)
+                        yield batch_of(RECORD, **dict(zip(RECORD.names, zip(*out, strict=True), strict=True)))
+                        out, size = [], 0
+                if out:
+                    yield batch_of(RECORD, **dict(zip(RECORD.names, zip(*out, strict=True), strict=True)))
 
-    result = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("problem", pa.string()), ("payload", pa.binary())])
+    result = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("problem", pa.string()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string())])
 
     def rebuild(batches):
         for batch in batches:
-            rows = [reassemble(origin, segments) for origin, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(*reassemble(origin, segments), origin, next((s["refers_to"] for s in segments if s["refers_to"]), None)) for origin, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             cols = zip(*rows, strict=True) if rows else [()] * len(result)
             yield batch_of(result, **dict(zip(result.names, map(list, cols), strict=True)))
 
     records = archives.select(content_col).mapInArrow(parse, RECORD_DDL)
-    parts = F.collect_list(F.struct("segment", "record_type", "total", "refers_to", "digest", "block"))
-    return records.groupBy("origin").agg(parts.alias("segments")).mapInArrow(rebuild, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string, payload binary")
+    parts = F.collect_set(F.struct("segment", "record_type", "total", "refers_to", "digest", "problem", "block"))
+    return records.groupBy("origin").agg(parts.alias("segments")).mapInArrow(rebuild, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string, payload binary, record_id string, refers_to_id string")
 
 
 def reassemble(origin: str, segments: list[dict]) -> tuple:
     """(page_id, payload_bytes, digest, type, refers_to, problem, payload) of one record's segments."""
     segments = sorted(segments, key=lambda s: s["segment"])
-    first, problem = segments[0], None
+    first, problem = segments[0], next((s["problem"] for s in segments if s.get("problem")), None)
     block = b"".join(s["block"] for s in segments)
-    if first["record_type"] == "continuation":
+    if problem:
+        pass
+    elif first["record_type"] == "continuation":
         problem = "the first segment is missing"
     elif (first["segment"] or len(segments) > 1) and [s["segment"] for s in segments] != list(range(1, len(segments) + 1)):
         problem = "segment numbers have gaps or repeat"

@@ -214,6 +214,30 @@ def test_substrings_against_plain(docs, rows, batches, max_runs):
     assert got == Counter((r[0], *x) for r, x in zip(rows, brute.substrings([(r[0], r[1]) for r in rows]), strict=True))
 
 
+def test_a_lasting_index_knows_what_an_earlier_session_added(spark, rows, tmp_path):
+    folder, plain = str(tmp_path / "index"), [(r[0], r[1]) for r in rows if r[0] is not None]
+    plain.sort()
+    parts = [plain[:25], plain[25:40], plain[40:50], plain[50:]]
+    got = Counter()
+    for part in parts:  # another session each time, so runs are opened from the folder alone
+        docs = spark.newSession().createDataFrame(part, "doc_id long, text string")
+        got += bag(substrings.dedup_report(docs, folder=folder).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(plain, brute.substrings(plain), strict=True))
+    state = substrings.FingerprintIndex(spark, folder)
+    assert state.batches == 4 and [len(state.runs[k]) for k in ("keys", "windows", "copies", "texts")] == [2, 2, 2, 4]
+
+
+def test_runs_are_merged_without_moving_them(spark, docs):
+    index = substrings.FingerprintIndex(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("kid"), F.coalesce("text", F.lit("")).alias("text"))
+    for part in (rows.filter("kid < 300"), rows.filter("kid >= 300")):
+        index.add(part)
+    new, old = (index.tables[index.runs["keys"][i]] for i in (1, 0))
+    plan = index._meet("keys", new, [old], ["rid", "many"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
+
+
 def test_anchors_of_equal_windows_are_equal():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 60, 200, dtype=np.uint64)
@@ -345,7 +369,7 @@ def test_warc_round_trip(spark, tmp_path, limit, segment):
 def test_warc_finds_what_is_broken():
     payload = bytes(range(256)) * 40
     records = [next(warc.parse_archive(r)) for r in warc.page_records(1, "http://h", payload, None, "0.0", 1000)]
-    segments = [{"segment": int(h["warc-segment-number"]), "record_type": h["warc-type"], "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, "refers_to": None, "digest": h.get("warc-payload-digest", "")[5:] or None, "block": b} for h, b in records]
+    segments = [{"segment": int(h["warc-segment-number"]), "record_type": h["warc-type"], "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, "refers_to": None, "digest": h.get("warc-payload-digest", "")[5:] or None, "block": b} for h, b, _ in records]
     origin = records[0][0]["warc-record-id"]
     random.Random(1).shuffle(segments)
     assert warc.reassemble(origin, segments)[5:] == (None, payload) and warc.reassemble(origin, segments)[0] == 1
@@ -360,8 +384,25 @@ def test_warc_finds_what_is_broken():
         with pytest.raises(ValueError):
             warc.decode_chunked(body)
     assert warc.decode_chunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
-    with pytest.raises(ValueError):
-        list(warc.parse_archive(b"no archive"))
+    for body in (b"-5\r\nab", b"0x1\r\na\r\n0\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc.decode_chunked(body)
+
+
+def test_damaged_archives_give_rows(spark):
+    good = [b"".join(warc.page_records(i, None, b"payload %d" % i, None, "0.0")) for i in range(3)]
+    plain = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:foreign>\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhi\r\n\r\n" % len(b"HTTP/1.1 200 OK\r\n\r\nhi")
+    contents = {
+        "no archive": b"no archive", "cut gzip": good[0] + good[1][:-20], "noise between": good[0] + b"\x1f\x8b\x08 noise" + good[1], "no length": plain.replace(b"Content-Length", b"Content-Size") + plain,
+        "no id": plain.replace(b"WARC-Record-ID", b"X"), "foreign": plain, "twice": good[2], "empty": b"", "null": None, "cut record": plain[:-20],
+    }
+    for name, content in contents.items():
+        got = warc.read_archives(spark.createDataFrame([(name, content)] * 2, "archive string, content binary")).collect()
+        problems = [r for r in got if r["problem"]]
+        assert all(r["record_type"] == "damaged" and r["payload"] is None for r in problems)
+        assert len(problems) == (name in ("no archive", "cut gzip", "noise between", "no length", "no id", "cut record")), name
+        assert sorted(r["page_id"] for r in got if r["page_id"] is not None) == {"cut gzip": [0], "noise between": [0, 1], "twice": [2]}.get(name, []), name
+        assert [(r["record_id"], bytes(r["payload"])) for r in got if r["page_id"] is None and not r["problem"]] == [("<urn:uuid:foreign>", b"hi")] * (name in ("foreign", "no length")), name
 
 
 def test_warc_of_nothing(spark):
@@ -465,16 +506,14 @@ def test_long_texts_encode_alike_in_parts(exact, monkeypatch):
 # near duplicates
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_near_duplicates_against_plain(docs, none, rows, block):
-    got = near_dups.near_duplicates(docs, block=block).collect()
+def test_near_duplicates_against_plain(docs, none, rows):
+    got = near_dups.near_duplicates(docs).collect()
     want = brute.near_classes([(r[0], r[1]) for r in rows])
     assert bag(got) == Counter((rows[n][0], c) for n, c in want.items())
     assert near_dups.near_duplicates(none).collect() == []
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_chains_of_near_copies_lose_no_link(spark, block):
+def test_chains_of_near_copies_lose_no_link(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     texts, base = [], [word() for _ in range(80)]
@@ -484,7 +523,7 @@ def test_chains_of_near_copies_lose_no_link(spark, block):
             copy[at] = word()
         texts.append(copy)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == brute.near_classes(rows)
 
 
@@ -506,8 +545,45 @@ def test_signatures_estimate_weighted_jaccard():
 
 def test_payload_overlap_is_multiset_overlap():
     a, b = Counter({1: 3, 2: 1, 3: 5}), Counter({1: 2, 3: 7, 4: 1})
-    sets = [near_dups.unpack_elements(near_dups.pack_elements(textkit.mix(np.array(sorted(x), np.uint64)), np.array([x[k] for k in sorted(x)]))) for x in (a, b)]
-    assert [len(s) for s in sets] == [9, 10] and near_dups._overlaps([sets[0]], [sets[1]])[0, 0] == (a & b).total()
+    sets = [near_dups.elements(textkit.mix(np.array(sorted(x), np.uint64)), np.array([x[k] for k in sorted(x)])) for x in (a, b)]
+    assert [len(s) for s in sets] == [9, 10] and len(np.intersect1d(*sets)) == (a & b).total()
+
+
+@pytest.mark.parametrize("common", [0, 30, 70])
+def test_prefix_pairs_hold_every_pair_that_is_alike(spark, common):
+    rng = np.random.default_rng(common)
+    shared, sets = rng.integers(0, 1 << 63, common, dtype=np.uint64), []
+    for _ in range(60):  # some with a common part, some made from others
+        old = sets[rng.integers(len(sets))] if sets and rng.random() < 0.6 else rng.integers(0, 1 << 63, rng.integers(1, 40), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([shared, rng.choice(old, max(1, int(len(old) * rng.uniform(0.7, 1))), False), rng.integers(0, 1 << 63, rng.integers(0, 6), dtype=np.uint64)])))
+    rows = spark.createDataFrame([(i, i % 7, x.tobytes()) for i, x in enumerate(sets)], "id long, comp long, payload binary")
+    counts = near_dups.element_counts(rows)
+    assert counts.sum() == sum(map(len, sets))
+    got = {(r["a"], r["b"]) for r in near_dups.prefix_pairs(near_dups.prefixes(rows, counts, 0.8), 0.8).collect()}
+    want = {(i, j) for j in range(60) for i in range(j) if i % 7 != j % 7 and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    assert want <= got and (common == 0 or want)
+    frequent = [(i, i, np.unique(np.concatenate([shared, np.arange(i * 100, i * 100 + 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)])).tobytes()) for i in range(1, 60)]
+    many = spark.createDataFrame(frequent, "id long, comp long, payload binary")
+    assert near_dups.prefix_pairs(near_dups.prefixes(many, near_dups.element_counts(many), 0.8), 0.8).count() == 0
+
+
+def twins(n=1024):
+    """Two words that every polynomial hash with an odd base modulo 2**64 takes for one."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_words_are_never_taken_for_one(spark):
+    a, b = twins()
+    lead = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, f"{lead} {a}"), (2, f"{lead} {b}"), (3, f"{a} {b}\n{a}\n{b}"), (4, a), (5, b)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup_report(docs).collect()} == dict.fromkeys(range(1, 6), 0)
+    assert {r["doc_id"]: r["n_dup_lines"] for r in fertility.quality_report(docs).collect()} == dict.fromkeys(range(1, 6), 0)
+    classes = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs).collect()}
+    assert classes[4] == 4 and classes[5] == 5
+    whole = spark.createDataFrame([(1, " ".join([a] * 13)), (2, " ".join([b] * 13))], "doc_id long, text string")
+    assert [r["n_removed"] for r in substrings.dedup_report(whole).collect()] == [0, 0]
+    assert sorted(r["class_id"] for r in near_dups.near_duplicates(whole).collect()) == [1, 2]
 
 
 def test_components(spark):
