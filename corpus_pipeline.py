@@ -7,16 +7,19 @@ source_mixing     samples documents towards the target mix
 best_fit_packing  packs what is left into sequences, one row per piece
 
 ORACLE_SQL is None: neither tokeniser fertility nor signatures can be put in SQL.
+
+Null texts are empty, which the quality rules reject; null ids count as the largest
+id. Of repeated rows one stays. Ties and very long texts are as the operators' own
+modules say: no stage cuts a text. An empty table gives no rows. Extra columns pass
+through all stages but the last.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanwork.llm import fertility, mixing, near_dups, packing, substrings
-from gleanwork.runtime import attach, checkpoint_folder
+from gleanwork.runtime import Scratch, attach, workspace
 
 ORACLE_SQL = None
 
@@ -56,10 +59,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage. Tables of the others go as soon as the next one is written."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with workspace(spark):
+            docs = scratch.write(stage(spark, docs, sf_dir), f"{number}-{name}")
+        if number:
+            scratch.drop(f"{number - 1}-{STAGES[number - 1][0]}")
     return docs
