@@ -12,8 +12,9 @@ Tokens are those of the byte-level vocabulary; words or a column of counts are
 options. A topic is three majority bits over the hashes of a text's
 words of five bytes or more, unless a topic column is given. Nulls in source,
 language or topic are a category of their own; null texts are empty. Rows with
-equal ids share one fate within a cell. Documents without tokens are kept. An empty
-table gives no rows. Columns of any name pass through mix() untouched.
+equal ids share one fate within a cell, and ties can't occur in a draw that depends on
+the id alone. Documents without tokens are kept. A very long text counts as all its
+tokens, which are found part by part. An empty table gives no rows. Columns of any name pass through mix() untouched.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import cut, fresh
+from ..runtime import Scratch, cut, fresh
 from .common import slices, texts_of, utf8
 from .textkit import digests, split_words, text_of_word
 from .vocabularies import byte_vocabulary, vocabulary_path
@@ -34,9 +35,11 @@ TOPIC_BITS = 3
 #: Powers of a category's own share: 1 keeps the shares, 0 makes them equal.
 EXPONENTS = {"source": 0.7, "lang": 0.85, "topic": 0.85}
 KEEP_SHARE = 0.8
-#: Cells that the driver rakes in memory; more are raked by the executors.
+#: Cells whose sums the driver holds; sums of more are held by the executors. Either way the steps
+#: and where they stop are the same.
 MAX_CELLS = 100_000
-ROUNDS, TOLERANCE = 40, 1e-9
+#: Raking ends when no category is further from its goal than this, relatively, or after so many rounds.
+ROUNDS, TOLERANCE = 200, 1e-9
 #: The budget is lowered to this share of the tokens at most; categories that are too small even then are kept whole.
 LEAST_SHARE = 0.2
 #: A budget's goals count as met at this relative distance.
@@ -170,13 +173,17 @@ def calibrate(cells: pd.DataFrame, targets: dict[str, dict[str, float]], weight:
         have = np.bincount(codes[dim], tokens)
         share = np.array([target.get(k, 0.0) for k in names]) * (have > 0)
         want[dim] = full_at(have, share if share.sum() else have, budget)
+    def distance() -> float:
+        kept = np.minimum(1, rate) * tokens
+        return max((float((np.abs(np.bincount(codes[d], kept, len(want[d])) - want[d])[want[d] > 0] / want[d][want[d] > 0]).max(initial=0.0)) for d in targets), default=0.0)
+
     for _ in range(rounds):
         for dim in targets:
             at = rate >= 1
             sums_of = lambda x: np.bincount(codes[dim], x, len(want[dim]))  # noqa: B023, E731
             rate *= step(want[dim], sums_of(tokens * at), sums_of(tokens * rate * ~at), sums_of(tokens * rate))[codes[dim]]
-    kept = np.minimum(1, rate) * tokens
-    worst = max((float((np.abs(np.bincount(codes[d], kept) - want[d])[want[d] > 0] / want[d][want[d] > 0]).max(initial=0.0)) for d in targets), default=0.0)
+        if (worst := distance()) < TOLERANCE:
+            break
     return np.where(tokens > 0, np.minimum(1, rate), 1.0), worst
 
 
@@ -191,14 +198,14 @@ def goals(cells: DataFrame, dim: str, exponent: float, given: dict[str, float] |
     """(category, tokens, target share) of a dimension, of categories with tokens."""
     have = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("have")).filter("have > 0")
     if given is None:
-        total = have.agg(F.sum("have").alias("total"))
-        share = have.join(F.broadcast(total), how="cross").withColumn("p", F.pow(F.col("have") / F.col("total"), F.lit(exponent)))
+        total = have.agg(F.sum("have")).first()[0] or 1.0
+        share = have.withColumn("p", F.pow(F.col("have") / F.lit(total), F.lit(exponent)))
     else:
         weights = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{dim} string, p double")
         share = have.join(weights, dim, "left").na.fill(0.0, ["p"])
-    every = share.agg(F.sum("p").alias("all"), F.sum("have").alias("whole"))
-    share = share.join(F.broadcast(every), how="cross")
-    return cut(share.select(dim, "have", F.when(F.col("all") > 0, F.try_divide("p", "all")).otherwise(F.col("have") / F.col("whole")).alias("share")))
+    share = cut(share)
+    every, whole = share.agg(F.sum("p"), F.sum("have")).first()
+    return share.select(dim, "have", (F.col("p") / F.lit(every) if every else F.col("have") / F.lit(whole or 1.0)).alias("share"))
 
 
 def rake_on_executors(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -208,12 +215,19 @@ def rake_on_executors(cells: DataFrame, wanted: dict[str, DataFrame], rounds: in
     """
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
     total = cells.agg(F.sum("weight")).first()[0] or 0.0
-    for _ in range(rounds):
-        for dim, goal in wanted.items():
-            now = cells.groupBy(dim).agg(F.sum("weight").alias("now")).join(goal, dim).select(dim, F.try_divide(F.col("share") * total, "now").alias("f"))
-            cells = cells.join(now, dim, "left").withColumn("weight", F.col("weight") * F.coalesce("f", F.lit(1.0))).drop("f")
-        cells = cut(cells)
-    return cells
+    with Scratch(cells.sparkSession, "raking") as scratch:
+        for n in range(rounds):
+            worst = 0.0
+            for dim, goal in wanted.items():
+                now = cells.groupBy(dim).agg(F.sum("weight").alias("now")).join(goal, dim).select(dim, F.try_divide(F.col("share") * total, "now").alias("f"))
+                now = scratch.write(now, f"{n}-{dim}-f")
+                worst = max(worst, now.agg(F.max(F.abs(F.col("f") - 1))).first()[0] or 0.0)
+                cells = scratch.write(cells.join(now, dim, "left").withColumn("weight", F.col("weight") * F.coalesce("f", F.lit(1.0))).drop("f"), f"{n}-{dim}")
+            if worst < TOLERANCE:
+                break
+            if n:
+                scratch.drop(*[f"{n - 1}-{d}{x}" for d in wanted for x in ("", "-f")])
+        return cut(cells)
 
 
 def calibrate_on_executors(cells: DataFrame, wanted: dict[str, DataFrame], budget: float, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
@@ -233,15 +247,19 @@ def calibrate_on_executors(cells: DataFrame, wanted: dict[str, DataFrame], budge
             goal = cut(goal.withColumn("capped", F.col("capped") | (F.col("want") > F.col("have") * (1 + 1e-12))))
         want[dim] = cut(goal.select(dim, "want"))
     t, r = F.col("tokens"), F.col("rate")
-    for _ in range(rounds):
-        for dim in want:
-            now = cells.groupBy(dim).agg(F.sum(F.when(r >= 1, t).otherwise(0)).alias("full"), F.sum(F.when(r < 1, t * r).otherwise(0.0)).alias("free"), F.sum(t * r).alias("whole")).join(want[dim], dim)
-            f = F.when((F.col("want") > F.col("full")) & (F.col("free") > 0), F.try_divide(F.col("want") - F.col("full"), "free")).when(F.col("want") < F.col("full"), F.try_divide("want", "whole"))
-            cells = cells.join(now.select(dim, f.alias("f")), dim, "left").withColumn("rate", r * F.coalesce("f", F.lit(1.0))).drop("f")
-        cells = cut(cells)
-    cells = cells.withColumn("probability", F.when(t > 0, F.least(F.lit(1.0), r)).otherwise(1.0)).drop("rate")
-    far = [cells.groupBy(d).agg(F.sum(t * F.col("probability")).alias("kept")).join(want[d], d).agg(F.max(F.when(F.col("want") > 0, F.try_divide(F.abs(F.col("kept") - F.col("want")), "want")))).first()[0] for d in want]
-    return cells, max([x or 0.0 for x in far], default=0.0)
+    with Scratch(cells.sparkSession, "calibration") as scratch:
+        for n in range(rounds):
+            for dim in want:
+                now = cells.groupBy(dim).agg(F.sum(F.when(r >= 1, t).otherwise(0)).alias("full"), F.sum(F.when(r < 1, t * r).otherwise(0.0)).alias("free"), F.sum(t * r).alias("whole")).join(want[dim], dim)
+                f = F.when((F.col("want") > F.col("full")) & (F.col("free") > 0), F.try_divide(F.col("want") - F.col("full"), "free")).when(F.col("want") < F.col("full"), F.try_divide("want", "whole"))
+                now = scratch.write(now.select(dim, f.alias("f")), f"{n}-{dim}-f")
+                cells = scratch.write(cells.join(now, dim, "left").withColumn("rate", r * F.coalesce("f", F.lit(1.0))).drop("f"), f"{n}-{dim}")
+            far = [cells.groupBy(d).agg(F.sum(t * F.least(F.lit(1.0), r)).alias("kept")).join(want[d], d).agg(F.max(F.when(F.col("want") > 0, F.try_divide(F.abs(F.col("kept") - F.col("want")), "want")))).first()[0] for d in want]
+            if (worst := max([x or 0.0 for x in far], default=0.0)) < TOLERANCE:
+                break
+            if n:
+                scratch.drop(*[f"{n - 1}-{d}{x}" for d in want for x in ("", "-f")])
+        return cut(cells.withColumn("probability", F.when(t > 0, F.least(F.lit(1.0), r)).otherwise(1.0)).drop("rate")), worst
 
 
 def named(targets: dict[str, dict] | None, lexical: bool) -> dict[str, dict[str, float]]:
@@ -300,12 +318,12 @@ def mix_shares(docs: DataFrame, exponents: dict[str, float] | None = None, targe
     found, names = with_cells(docs, **cell_options)
     found = cut(found.select(*[F.col(c).alias(k) for k, c in names.items()]))
     table = cut(cell_probabilities(found, {k: k for k in names}, exponents, targets=given, **options))
-    every = table.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("probability")).alias("all_kept"))
+    every, every_kept = table.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
     out = None
     for dim, exponent in exponents.items():
         kept = table.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("probability")).alias("kept"))
-        rows = goals(table, dim, exponent, given.get(dim)).join(kept, dim).join(F.broadcast(every), how="cross")
-        rows = rows.select(F.lit(dim).alias("dim"), F.col(dim).alias("category"), (F.col("have") / F.col("all")).alias("own"), F.col("share").alias("target"), F.try_divide("kept", "all_kept").alias("expected"))
+        rows = goals(table, dim, exponent, given.get(dim)).join(kept, dim)
+        rows = rows.select(F.lit(dim).alias("dim"), F.col(dim).alias("category"), F.try_divide("have", F.lit(float(every or 0))).alias("own"), F.col("share").alias("target"), F.try_divide("kept", F.lit(every_kept or 0.0)).alias("expected"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

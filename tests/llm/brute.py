@@ -94,3 +94,73 @@ def best_fit(lengths, capacity):
         else:
             rooms[best] -= n
     return rooms
+
+
+def raked(cells, targets, rounds=500):
+    """{cell: weight} of {(category, ...): tokens}: every dimension in turn scaled to its target shares."""
+    weight, total = dict(cells), sum(cells.values())
+    for _ in range(rounds):
+        for d, target in enumerate(targets):
+            there = {c[d] for c, t in cells.items() if t}
+            all_of = sum(target.get(k, 0) for k in there)
+            for k in there:
+                now = sum(w for c, w in weight.items() if c[d] == k)
+                for c in weight:
+                    if c[d] == k and now:
+                        weight[c] *= target.get(k, 0) / all_of * total / now
+    return weight
+
+
+def is_calibrated(cells, probability, targets, budget):
+    """Whether probabilities are min(1, product of a multiplier for each category) and meet targets and budget.
+
+    Products have no interaction: over uncapped cells every cycle a, b / c, d of two dimensions multiplies out.
+    """
+    kept = sum(t * probability[c] for c, t in cells.items())
+    if abs(kept - budget) > 1e-6 * budget:
+        return False
+    for d, target in enumerate(targets):
+        there = {c[d] for c, t in cells.items() if t}
+        for k in there:
+            share = sum(t * probability[c] for c, t in cells.items() if c[d] == k) / kept
+            if abs(share - target.get(k, 0) / sum(target.get(x, 0) for x in there)) > 1e-6:
+                return False
+    free = {c for c, t in cells.items() if t and 0 < probability[c] < 1}
+    for a in free:
+        for b in free:
+            for d in range(len(targets)):
+                c, e = a[:d] + (b[d],) + a[d + 1 :], b[:d] + (a[d],) + b[d + 1 :]
+                if c in free and e in free and abs(probability[a] * probability[b] / (probability[c] * probability[e]) - 1) > 1e-6:
+                    return False
+    return True
+
+
+def ridge_scores(features, labels, fit, calibrate, ridge):
+    """Scores by ridge regression on the rows of fit, and the isotonic map of those of calibrate, by plain loops.
+
+    The map: margins in 1,024 bins over -0.5 .. 1.5, means pooled until they don't fall, one
+    knot for each level at its mean bin, straight lines between.
+    """
+    import numpy as np
+
+    d = features.shape[1]
+    zz, zy = np.zeros((d, d)), np.zeros(d)
+    for i in np.flatnonzero(fit):
+        zz += np.outer(features[i], features[i])
+        zy += features[i] * labels[i]
+    margin = features @ np.linalg.solve(zz + ridge * np.eye(d), zy)
+    bins = defaultdict(lambda: [0.0, 0.0])
+    for i in np.flatnonzero(calibrate):
+        at = min(1023, max(0, int((margin[i] + 0.5) / 2 * 1024)))
+        bins[at][0] += labels[i]
+        bins[at][1] += 1
+    levels = [[y, n, at * n] for at, (y, n) in sorted(bins.items())]
+    i = 0
+    while i + 1 < len(levels):
+        if levels[i][0] / levels[i][1] >= levels[i + 1][0] / levels[i + 1][1]:
+            levels[i : i + 2] = [[a + b for a, b in zip(levels[i], levels[i + 1], strict=True)]]
+            i = max(0, i - 1)
+        else:
+            i += 1
+    knots = [(at / n + 0.5) / 1024 * 2 - 0.5 for _, n, at in levels]
+    return np.interp(margin, knots, np.maximum.accumulate([(y + 0.01) / (n + 0.02) for y, n, _ in levels]))
