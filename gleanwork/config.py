@@ -38,6 +38,11 @@ class CurationConfig:
     skip_classify: bool = False
     manifest: bool = True
     ignore_classify_errors: bool = False
+    reject_thumbnails: bool = False
+    blocked_hosts: tuple[str, ...] = ()
+    length_tolerance: bool = False
+    audit_limit: int = 50
+    # Suffixes, extensions and content types that results depend on.
     labels: tuple[str, ...] = ("original", "wallpaper", "photo", "illustration", "render", "other", DISCARD)
     extensions: tuple[str, ...] = (".jpg", ".jpeg", ".png")
     content_types: tuple[str, ...] = ("image/jpeg", "image/jpg", "image/pjpeg", "image/png", "application/octet-stream")

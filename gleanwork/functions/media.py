@@ -46,15 +46,15 @@ def declared_length(content_length: Column) -> Column:
     return F.when(content_length.rlike("^[0-9]+$"), content_length.try_cast("long"))
 
 
-def reject_reason(status: Column, content_type: Column, content_length: Column, data: Column, min_bytes: int, max_bytes: int, content_types: tuple[str, ...]) -> Column:
-    """The first failing check by name, or null. A missing payload fails as `status`."""
+def reject_reason(status: Column, content_type: Column, content_length: Column, data: Column, min_bytes: int, max_bytes: int, content_types: tuple[str, ...], tolerant: bool = False) -> Column:
+    """The first failing check by name, or null. A missing payload fails as `status`. `tolerant`: see short_of_declared()."""
     declared, size, mime = declared_length(content_length), F.octet_length(data), content_type_norm(content_type)
     checks = [
         ~F.coalesce(status == 200, F.lit(False)) | data.isNull(),
         declared > max_bytes,
         declared < min_bytes,
         ~((mime == "") | mime.isin(*content_types)),
-        size != declared,
+        short_of_declared(declared, size) if tolerant else size != declared,
         size > max_bytes,
         size < min_bytes,
         looks_like_html(data),

@@ -50,8 +50,8 @@ def validate_verdict(parsed: Column, labels: tuple[str, ...]) -> Column:
 
 
 def error_message(body: Column) -> Column:
-    """error.message of a JSON body, else the body trimmed."""
-    return F.coalesce(F.nullif(F.try_variant_get(F.try_parse_json(body), "$.error.message", "string"), F.lit("")), F.trim(body))
+    """error.message of a JSON body, else the body without white space at its ends."""
+    return F.coalesce(F.nullif(F.try_variant_get(F.try_parse_json(body), "$.error.message", "string"), F.lit("")), F.regexp_replace(body, r"^[\s\p{Z}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}]+$", ""))
 
 
 def error_class(message: Column) -> Column:

@@ -63,6 +63,11 @@ def flagged_or_all(items: DataFrame) -> DataFrame:
     return items.crossJoin(F.broadcast(some)).filter("flagged or not _any").drop("_any")
 
 
+def candidates(items: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """What the auditor is asked about: the first n flagged items, or of all items if none is flagged."""
+    return flagged_or_all(items).orderBy(*order).limit(n)
+
+
 def auditor_finds_bad(quality: Column, is_gray: Column) -> Column:
     return F.coalesce(F.lower(quality).isin("gray", "low"), F.lit(False)) | F.coalesce(is_gray, F.lit(False))
 

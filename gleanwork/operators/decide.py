@@ -14,12 +14,15 @@ from ..functions.verdict import extract_json, validate_verdict
 def fetched(candidates: DataFrame, payloads: DataFrame, config: CurationConfig) -> DataFrame:
     """candidates with the sha256 and content type of their payload; reject says why a payload fails.
 
-    A URL without a payload has no row: it stays unrecorded and is tried again.
-    Bytes stay behind: only the hash travels on.
+    A URL without a payload has no row: it stays unrecorded and is tried again. Of
+    several payloads of a URL one counts, the same in each run: one that passes if
+    any does, of those the one of the least hash. Only payloads of candidates are
+    hashed, and bytes stay behind: only the hash travels on.
     """
-    reason = reject_reason(F.col("status"), F.col("content_type"), F.col("content_length"), F.col("content"), config.min_bytes, config.max_bytes, config.content_types)
-    judged = payloads.select("url", content_type_norm(F.col("content_type")).alias("content_type"), sha256_hex(F.col("content")).alias("sha256"), reason.alias("reject"))
-    return candidates.join(judged, "url")
+    reason = reject_reason(F.col("status"), F.col("content_type"), F.col("content_length"), F.col("content"), config.min_bytes, config.max_bytes, config.content_types, config.length_tolerance)
+    wanted = payloads.join(candidates.select("url"), "url", "left_semi")
+    judged = wanted.select("url", F.struct(reason.isNotNull().alias("fails"), sha256_hex(F.col("content")).alias("sha256"), content_type_norm(F.col("content_type")).alias("content_type"), reason.alias("reject")).alias("p"))
+    return candidates.join(judged.groupBy("url").agg(F.min("p").alias("p")).select("url", "p.content_type", "p.sha256", "p.reject"), "url")
 
 
 def mark_copies(rows: DataFrame, ledger: DataFrame, ignore_errors: bool = False) -> DataFrame:

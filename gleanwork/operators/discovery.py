@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CurationConfig
 from ..functions.text import is_ascii
-from ..functions.url import url_ext
+from ..functions.url import url_ext, url_host, url_looks_like_thumbnail
 from ..runtime import global_rank
 
 
@@ -46,10 +46,15 @@ def discover(hits: DataFrame, ledger: DataFrame, config: CurationConfig) -> Data
     """(url, discovery_rank) of candidates, from hits (query_rank, query, result_rank, url).
 
     Hits without a URL or with another extension go; of equal URLs the first stays;
-    recorded URLs go; then the first url_cap remain.
+    recorded URLs go, and, where the settings ask for it, thumbnails and blocked
+    hosts; then the first url_cap remain.
     """
     usable = top_results(hits.filter("url is not null and url <> ''"), config.max_results_per_query)
     usable = usable.filter(url_ext(F.col("url")).isin(*config.extensions)).select("url", "query_rank", "result_rank")
+    if config.reject_thumbnails:
+        usable = usable.filter(~url_looks_like_thumbnail(F.col("url")))
+    if config.blocked_hosts:
+        usable = usable.filter(~F.lower(url_host(F.col("url"))).isin(*[h.lower() for h in config.blocked_hosts]))
     fresh = not_recorded(first_of(usable, "url", ["query_rank", "result_rank"]), ledger)
     capped = fresh.orderBy("query_rank", "result_rank", "url").limit(config.url_cap)
     return global_rank(capped, [F.col("query_rank"), F.col("result_rank"), F.col("url")], "discovery_rank").select("url", "discovery_rank")

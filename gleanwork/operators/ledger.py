@@ -12,7 +12,7 @@ from ..config import DISCARD
 from ..functions.hashing import hash_prefix
 from ..functions.media import mime_to_ext
 from ..functions.text import slugify
-from ..functions.url import url_ext, url_stem
+from ..functions.url import url_stem
 from ..runtime import cut, global_rank
 from ..schemas import LEDGER
 from .discovery import first_of, not_recorded
@@ -66,21 +66,31 @@ def phashes(ledger: DataFrame) -> DataFrame:
     return ledger.filter("phash is not null and phash <> ''").select("phash")
 
 
-def file_paths(kept: DataFrame, root: Column) -> DataFrame:
-    """Adds filepath: root/category/prefix_slug.ext.
+def file_paths(kept: DataFrame, root: Column, taken: DataFrame | None = None) -> DataFrame:
+    """Adds filepath: root/category/prefix_slug.ext, the extension by the content type.
 
-    The prefix of the hash has 12 digits, and 4 more while an earlier row of the
-    category has the same name. From (url, sha256, content_type, category, discovery_rank).
+    The prefix of the hash has 12 digits, and 4 more while an earlier row of the category
+    or a file that is `taken` (filepath) has the same name. From (url, sha256,
+    content_type, category, discovery_rank).
     """
-    ext = F.coalesce(F.nullif(url_ext(F.col("url")), F.lit("")), mime_to_ext(F.col("content_type")))
-    named = kept.withColumn("_slug", slugify(url_stem(F.col("url")))).withColumn("_ext", ext).withColumn("_n", F.lit(None).cast("int"))
-    for n in (12, 16, 20, 24):  # of hashes that agree in 24 digits the whole is used
-        named = named.withColumn("_prefix", hash_prefix(F.col("sha256"), n))
-        clash = Window.partitionBy("category", "_prefix", "_slug", "_ext", F.col("_n").isNull()).orderBy("discovery_rank")
-        named = named.withColumn("_n", F.when(F.col("_n").isNull() & (F.row_number().over(clash) == 1), n).otherwise(F.col("_n")))
+    sizes = (12, 16, 20, 24)  # of hashes that agree in 24 digits the whole is used
+    # written, as each step below would spell these names again
+    named = cut(kept.withColumn("_slug", slugify(url_stem(F.col("url")))).withColumn("_ext", mime_to_ext(F.col("content_type"))))
+    path = lambda prefix: F.concat_ws("/", root, "category", F.concat(prefix, F.lit("_"), "_slug", "_ext"))
+    named = named.withColumn("_n", F.lit(None).cast("int")).withColumn("_paths", F.array(*[path(hash_prefix(F.col("sha256"), n)) for n in sizes]))
+    if taken is not None:
+        met = named.select("discovery_rank", F.explode("_paths").alias("filepath")).join(taken.select("filepath"), "filepath", "left_semi")
+        named = named.join(met.groupBy("discovery_rank").agg(F.collect_set("filepath").alias("_taken")), "discovery_rank", "left")
+    else:
+        named = named.withColumn("_taken", F.lit(None).cast("array<string>"))
+    named = cut(named)
+    for i, n in enumerate(sizes):
+        named = named.withColumn("_path", F.col("_paths")[i])
+        free = F.col("_n").isNull() & ~F.coalesce(F.array_contains("_taken", F.col("_path")), F.lit(False))
+        first = Window.partitionBy("_path", free).orderBy("discovery_rank")
+        named = named.withColumn("_n", F.when(free & (F.row_number().over(first) == 1), n).otherwise(F.col("_n")))
     digits = F.coalesce("_n", F.lit(64))
-    name = F.concat(F.substring("sha256", F.lit(1), digits), F.lit("_"), "_slug", "_ext")
-    return named.withColumn("filepath", F.concat_ws("/", root, "category", name)).drop("_slug", "_ext", "_n", "_prefix")
+    return named.withColumn("filepath", path(F.substring("sha256", F.lit(1), digits))).select(*kept.columns, "filepath")
 
 
 def write_blobs(kept: DataFrame, payloads: DataFrame, folder: str) -> None:
@@ -107,8 +117,14 @@ def manifest_items(ledger: DataFrame) -> DataFrame:
     return ledger.orderBy("created_at", "id").select("created_at", "url", item.alias("item"))
 
 
+def write_manifest_table(ledger: DataFrame, path: str) -> None:
+    """The items as JSON lines in many files, written by the executors: the form for large ledgers."""
+    fields = [f.name for f in LEDGER if f.name != "id"]
+    ledger.orderBy("created_at", "id").select(*fields).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_manifest(ledger: DataFrame, path: str, generated_at: str) -> int:
-    """{generated_at, count, items}: rows stream to the driver's file one partition at a time."""
+    """{generated_at, count, items}: rows stream to the driver's one file, a partition at a time. See write_manifest_table()."""
     count = ledger.count()
     with open(path, "w", encoding="utf-8") as out:
         out.write(f'{{\n  "generated_at": "{generated_at}",\n  "count": {count},\n  "items": [')

@@ -72,5 +72,5 @@ def success_report(ledger: DataFrame | None, lines: DataFrame | None, today: str
     else:
         counters = log_counters(lines).first().asDict()
         out += [f"- latest_log: {log_name}", *(f"- {k}: {v}" for k, v in counters.items()), "- download_reasons:"]
-        out += [f"  - {x['n']} {x['reason']}" for x in failure_reasons(lines).collect()] or ["  - (none)"]
+        out += [f"  - {x['n']} {x['reason']}" for x in failure_reasons(lines).toLocalIterator()] or ["  - (none)"]
     return "\n".join(out) + "\n"

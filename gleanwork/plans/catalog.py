@@ -58,10 +58,17 @@ def kept_discard_rates(read):
     return reports.success_rates(read("labels").select(F.when(F.col("toxic") == 1, DISCARD).otherwise("other").alias("category")))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type FROM events ORDER BY events.ts DESC, event_id DESC LIMIT 50")
+@query("""
+SELECT concat('f', event_id) AS filepath, concat('u', event_id) AS url, event_type AS category, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at FROM events
+WHERE event_id % 3 <> 0 AND event_type <> 'error' ORDER BY 4 DESC, event_id DESC LIMIT 50
+""")
 def newest_n(read):
-    rows = read("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
-    return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "event_type")
+    i = F.col("event_id")
+    rows = read("events").select(
+        i.alias("id"), F.concat(F.lit("u"), i).alias("url"), F.when(i % 3 != 0, F.concat(F.lit("f"), i)).alias("filepath"),
+        F.when(F.col("event_type") == "error", DISCARD).otherwise(F.col("event_type")).alias("category"), text.iso_seconds(F.col("ts")).alias("created_at"),
+    )
+    return ledger.newest_kept(rows, 50)
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events")
@@ -79,8 +86,10 @@ def slugify(read):
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS winner, count(*) AS copies FROM documents GROUP BY 1")
 def sha256_dedupe_winner(read):
-    hashed = read("documents").select("doc_id", hashing.sha256_hex(F.col("text")).alias("sha256"))
-    return hashed.groupBy("sha256").agg(F.min("doc_id").alias("winner"), F.count("*").alias("copies"))
+    docs = read("documents").select(F.col("doc_id").alias("discovery_rank"), hashing.sha256_hex(F.col("text")).alias("sha256"))
+    none = docs.limit(0).select("sha256", F.lit("").alias("category"), F.lit("").alias("model_name"))
+    marked = decide.mark_copies(docs, none)
+    return marked.groupBy("sha256").agg(F.min(F.when(~F.col("is_copy"), F.col("discovery_rank"))).alias("winner"), F.count("*").alias("copies"))
 
 
 @query("""
@@ -116,9 +125,15 @@ def history_anti(read):
     return discovery.not_recorded(read("documents").select("doc_id", "lang"), read("labels"), "doc_id")
 
 
-@query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
+@query("""
+WITH h AS (SELECT doc_id, lang, sha256(text) AS sha FROM documents)
+SELECT doc_id, lang FROM h SEMI JOIN (SELECT sha FROM h JOIN labels USING (doc_id)) USING (sha)
+""")
 def history_semi(read):
-    return read("documents").select("doc_id", "lang").join(read("labels"), "doc_id", "left_semi")
+    docs = read("documents").select(F.col("doc_id").alias("discovery_rank"), "lang", hashing.sha256_hex(F.col("text")).alias("sha256"))
+    past = docs.join(read("labels"), F.col("discovery_rank") == F.col("doc_id")).select("sha256", F.lit("other").alias("category"), F.lit("m").alias("model_name"))
+    known = decide.mark_copies(docs.dropDuplicates(["sha256"]), past).filter("is_copy").select("sha256")
+    return docs.join(known, "sha256").select(F.col("discovery_rank").alias("doc_id"), "lang")
 
 
 _VARIANTS = CurationConfig().variant_suffixes + CurationConfig().filetype_suffixes
@@ -401,13 +416,14 @@ def audit_sample20(read):
 
 @query(f"""
 WITH w AS (SELECT sha256(text) AS sha, min(doc_id) AS doc_id FROM documents GROUP BY 1), d AS (SELECT doc_id, lang, source, sha FROM w JOIN documents USING (doc_id))
-SELECT doc_id, concat('out/', lang, '/', left(sha, 12), '_', {_SLUG.format("concat(source, '_', doc_id % 3)")}, CASE doc_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' ELSE '.bin' END) AS filepath FROM d
+SELECT doc_id, concat('out/', lang, '/', left(sha, 12), '_', {_SLUG.format("concat(source, '_', doc_id % 3)")}, CASE doc_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.bin' ELSE '.gif' END) AS filepath FROM d
 """)
 def file_names(read):
     hashed = read("documents").select("doc_id", "lang", "source", hashing.sha256_hex(F.col("text")).alias("sha256"))
     first = hashed.groupBy("sha256").agg(F.min(F.struct("doc_id", "lang", "source")).alias("f")).select("sha256", "f.*")
-    ext = F.when(F.col("doc_id") % 4 == 0, ".JPG?x").when(F.col("doc_id") % 4 == 1, ".png").otherwise("")
-    rows = first.select("doc_id", F.concat(F.lit("http://h/"), "source", F.lit("_"), (F.col("doc_id") % 3).cast("string"), ext).alias("url"), "sha256", F.lit("application/octet-stream").alias("content_type"), F.col("lang").alias("category"), F.col("doc_id").alias("discovery_rank"))
+    ext = F.when(F.col("doc_id") % 4 == 0, ".JPG?x").when(F.col("doc_id") % 4 == 1, ".png").otherwise("")  # that of the content type counts
+    kind = F.when(F.col("doc_id") % 4 == 0, "image/png").when(F.col("doc_id") % 4 == 1, "").when(F.col("doc_id") % 4 == 2, "application/octet-stream").otherwise("IMAGE/GIF; q=1")
+    rows = first.select("doc_id", F.concat(F.lit("http://h/"), "source", F.lit("_"), (F.col("doc_id") % 3).cast("string"), ext).alias("url"), "sha256", kind.alias("content_type"), F.col("lang").alias("category"), F.col("doc_id").alias("discovery_rank"))
     return ledger.file_paths(rows, F.lit("out")).select("doc_id", "filepath")
 
 
@@ -433,13 +449,14 @@ def error_classes(read):
 
 @query("""
 WITH i AS (SELECT n_chars < 500 OR toxic = 1 AS flagged, labels.doc_id IS NOT NULL AS audited, toxic = 1 AS bad FROM documents LEFT JOIN labels USING (doc_id))
-SELECT count(*) AS total, count(*) FILTER (WHERE flagged) AS flagged, count(*) FILTER (WHERE audited) AS audited, count(*) FILTER (WHERE bad) AS bad FROM i
+SELECT count(*) AS total, count(*) FILTER (WHERE flagged) AS flagged, count(*) FILTER (WHERE audited) AS audited, count(*) FILTER (WHERE bad) AS bad,
+  coalesce(count(*) FILTER (WHERE flagged) * 100.0::DOUBLE / nullif(count(*), 0), 0) AS flagged_rate, coalesce(count(*) FILTER (WHERE bad) * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE audited), 0), 0) AS bad_rate FROM i
 """)
 def audit_totals(read):
     items = read("documents").select(F.col("doc_id").cast("string").alias("filepath"), (F.col("n_chars") < 500).alias("flagged"), F.array().cast("array<string>").alias("flags"))
     said = F.struct(F.when(F.col("toxic") == 1, "low").otherwise("good").alias("quality"), F.lit(False).alias("is_gray"), F.lit("").alias("reason"))
     verdicts = read("labels").select(F.col("doc_id").cast("string").alias("filepath"), said.alias("llm"))
-    return audit.audit_totals(audit.with_auditor(items, verdicts)).select("total", "flagged", "audited", "bad")
+    return audit.audit_totals(audit.with_auditor(items, verdicts)).select("total", "flagged", "audited", "bad", "flagged_rate", "bad_rate")
 
 
 @query("SELECT page_id FROM pages WHERE regexp_matches(lower(url), '[/_.-](thumbs?|thumbnail|preview|avatar|icons?)[/_.-]|[?&](w|h|width|height|size)=[0-9]{1,3}(&|$)') OR page_id % 10 = 0")
@@ -448,10 +465,11 @@ def thumbnail_urls(read):
     return read("pages").filter(url.url_looks_like_thumbnail(spelled)).select("page_id")
 
 
-@query(f"SELECT count(*) AS n_hashes FROM (SELECT DISTINCT {_BITS} AS hash FROM embeddings)")
+@query(f"SELECT count(*) AS n_hashes FROM (SELECT DISTINCT {_BITS} AS hash FROM embeddings WHERE vec_id % 7 > 1)")
 def phash_scan(read):
-    hashes = read("embeddings").select(_sign_bits(F.col("embedding")).alias("hash"))
-    return hashes.distinct().agg(F.count("*").alias("n_hashes"))
+    i = F.col("vec_id")
+    found = read("embeddings").select(F.when(i % 7 == 0, F.lit("")).when(i % 7 != 1, F.lpad(F.lower(F.hex(_sign_bits(F.col("embedding")))), 16, "0")).alias("phash"))
+    return ledger.phashes(found).distinct().agg(F.count("*").alias("n_hashes"))
 
 
 def _greedy(read):

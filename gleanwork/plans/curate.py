@@ -36,6 +36,7 @@ def curate(hits: DataFrame, payloads: DataFrame, verdicts: DataFrame | None, pas
 
 def record(run: Run, path: str, created_at: str, config: CurationConfig) -> DataFrame:
     """Appends a run's decisions to the ledger; running it again adds nothing."""
-    kept = ledger.file_paths(run.decisions.filter("kept"), F.lit(config.out_dir)).select("url", "filepath")
+    past = ledger.read_ledger(run.decisions.sparkSession, path).filter("filepath is not null")
+    kept = ledger.file_paths(run.decisions.filter("kept"), F.lit(config.out_dir), past).select("url", "filepath")
     rows = run.decisions.join(kept, "url", "left")
     return ledger.append(rows.drop("content_type", "kept"), path, created_at, ["discovery_rank"])

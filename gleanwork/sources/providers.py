@@ -32,6 +32,14 @@ class Classifier(Protocol):
     def __call__(self, content: bytes, model: str, with_schema: bool) -> str: ...
 
 
+class Auditor(Protocol):
+    def __call__(self, content: bytes, mime: str | None) -> dict: ...
+
+
+#: Audits that run at a time, at most.
+AUDITS = 4
+
+
 def backoff(attempt: int, limited: bool = False, rng: random.Random | None = None) -> float:
     """Seconds before the next attempt: 2**attempt and up to one more; rate limits add one to two."""
     r = rng or random
@@ -75,14 +83,48 @@ def classify(payloads: DataFrame, classifier: Classifier, models: tuple[str, ...
     once = payloads.groupBy("sha256").agg(F.first("content").alias("content"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain = list(models)  # a model that takes no images isn't asked again by this task
+
+        def one(content) -> tuple[str | None, str | None, str | None]:
+            answer = ask(classifier, bytes(content), tuple(chain), retries)
+            while answer[1] in chain[1:]:
+                chain.pop(0)
+            return answer
+
         with ThreadPoolExecutor(concurrency) as pool:
             for part in parts:
-                answers = list(pool.map(lambda c: ask(classifier, bytes(c), models, retries), part["content"]))
+                answers = list(pool.map(one, part["content"]))
                 yield pd.DataFrame([(s, *a) for s, a in zip(part["sha256"], answers, strict=True)], columns=["sha256", "response", "model_name", "error"])
 
     return cut(once.mapInPandas(run, "sha256 string, response string, model_name string, error string"))
 
 
+def audit_one(auditor: Auditor, content: bytes, mime: str | None, retries: int, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """The auditor's verdict {quality, is_gray, reason}; of a failure the quality `error` and the reason. Waits 2**attempt and a tenth of the attempt."""
+    for attempt in range(retries + 1):
+        try:
+            return auditor(content, mime)
+        except Exception as e:
+            if attempt == retries:
+                return {"quality": "error", "is_gray": None, "reason": str(e)}
+            sleep(2**attempt + 0.1 * attempt)
+    raise AssertionError("retries is negative")
+
+
+def audit(files: DataFrame, auditor: Auditor, retries: int = 2, concurrency: int = 3) -> DataFrame:
+    """(filepath, llm) of (filepath, content), written once, for audit.with_auditor()."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(max(1, min(concurrency, AUDITS))) as pool:
+            for part in parts:
+                said = list(pool.map(lambda c: audit_one(auditor, bytes(c), None, retries), part["content"]))
+                gray = [x.get("is_gray") if isinstance(x.get("is_gray"), bool) else None for x in said]
+                yield pd.DataFrame({"filepath": part["filepath"], "quality": [x.get("quality") for x in said], "is_gray": pd.Series(gray, dtype=object), "reason": [x.get("reason") for x in said]})
+
+    told = files.select("filepath", "content").mapInPandas(run, "filepath string, quality string, is_gray boolean, reason string")
+    return cut(told.select("filepath", F.struct("quality", "is_gray", "reason").alias("llm")))
+
+
 def working_model(probe: Callable[[str], None], primary: str, fallback: str) -> str:
     """The fallback if the primary takes no images; any other failure leaves the primary."""
     try:

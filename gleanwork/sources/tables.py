@@ -31,12 +31,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def latest_log(spark: SparkSession, folder: str) -> str | None:
     """The newest *.log of a folder, by time of change; None without one."""
     try:
-        lines = spark.read.option("pathGlobFilter", "*.log").text(folder)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(folder)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    return lines.select("_metadata.file_path", "_metadata.file_modification_time").agg(F.max_by("file_path", "file_modification_time")).first()[0]
+    return files.select("path", "modificationTime").agg(F.max_by("path", "modificationTime")).first()[0]  # names and times alone are read
 
 
 def parse_log(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 import random
 import struct
 import zlib
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def test_rerun_adds_nothing(spark, tmp_path):
         record(curate(*args, ledger.read_ledger(spark, path), CONFIG), path, "2024-01-01T00:00:00+00:00", CONFIG)
     rows = ledger.in_order(ledger.read_ledger(spark, path)).collect()
     assert len(rows) == 2 and sum(r["filepath"] is not None for r in rows) == 1
-    assert [r for r in rows if r["filepath"]][0]["filepath"].startswith("curated/photo/6b86b273ff34_a.jpg")
+    assert [r for r in rows if r["filepath"]][0]["filepath"].startswith("curated/photo/6b86b273ff34_a.png")
     assert ledger.write_manifest(ledger.read_ledger(spark, path), str(tmp_path / "m.json"), "now") == 2
     assert json.loads((tmp_path / "m.json").read_text())["count"] == 2
 
@@ -104,7 +105,50 @@ def test_file_name_clash(spark):
     sha = lambda s: s.ljust(64, "0")
     rows = [("http://h/a.jpg", sha("a" * 12 + "1"), "image/png", "photo", 1), ("http://g/a.jpg", sha("a" * 12 + "2"), "image/png", "photo", 2), ("http://g/a", sha("b"), "image/png", "photo", 3)]
     got = [r["filepath"] for r in ledger.file_paths(spark.createDataFrame(rows, "url string, sha256 string, content_type string, category string, discovery_rank long"), F.lit("o")).orderBy("discovery_rank").collect()]
-    assert got == ["o/photo/" + "a" * 12 + "_a.jpg", "o/photo/" + "a" * 12 + "2000_a.jpg", "o/photo/b00000000000_a.png"]
+    assert got == ["o/photo/" + "a" * 12 + "_a.png", "o/photo/" + "a" * 12 + "2000_a.png", "o/photo/b00000000000_a.png"]
+    taken = spark.createDataFrame([("o/photo/" + "a" * 12 + "_a.png",), ("o/photo/b00000000000_a.png",), ("o/photo/b000000000000000_a.png",)], "filepath string")
+    got = [r["filepath"] for r in ledger.file_paths(spark.createDataFrame(rows, "url string, sha256 string, content_type string, category string, discovery_rank long"), F.lit("o"), taken).orderBy("discovery_rank").collect()]
+    assert got == ["o/photo/" + "a" * 12 + "1000_a.png", "o/photo/" + "a" * 12 + "2000_a.png", "o/photo/b" + "0" * 19 + "_a.png"]
+
+
+def test_one_payload_of_a_url_counts(spark):
+    hits, payloads, verdicts = inputs(spark, {"http://h/a.jpg": b"1", "http://h/b.jpg": b"2"}, {"http://h/a.jpg": VALID, "http://h/b.jpg": VALID})
+    more = spark.createDataFrame([("http://h/a.jpg", 200, "image/png", None, b"1"), ("http://h/a.jpg", 404, "image/png", None, b"x"), ("http://h/b.jpg", 200, "image/png", None, b"2")], PAYLOADS)
+    none = spark.createDataFrame([], LEDGER)
+    run = curate(hits, payloads.union(more).union(more), verdicts.distinct(), none, replace(CONFIG, limit=1))
+    assert sorted((r["url"], r["model_name"], r["kept"]) for r in run.decisions.collect()) == [("http://h/a.jpg", "m", True), ("http://h/b.jpg", "limit_reached", False)]
+
+
+def test_auditor_and_its_limit(spark):
+    def auditor(content, mime):
+        if content == b"bad":
+            raise ValueError("no answer")
+        return {"quality": "gray" if content == b"g" else "good", "is_gray": content == b"g", "reason": "r"}
+
+    files = spark.createDataFrame([("a", b"g"), ("b", b"ok"), ("c", b"bad")], "filepath string, content binary")
+    said = providers.audit(files, auditor, retries=0)
+    assert {r["filepath"]: (r["llm"]["quality"], r["llm"]["is_gray"], r["llm"]["reason"]) for r in said.collect()} == {"a": ("gray", True, "r"), "b": ("good", False, "r"), "c": ("error", None, "no answer")}
+    items = spark.createDataFrame([("a", False, []), ("b", True, ["x"]), ("c", True, [])], "filepath string, flagged boolean, flags array<string>")
+    assert [r["filepath"] for r in audit.candidates(items, [F.col("filepath")], 1).collect()] == ["b"]
+    assert [r["filepath"] for r in audit.candidates(items.filter("not flagged"), [F.col("filepath")], 5).collect()] == ["a"]
+    waits = []
+    assert providers.audit_one(auditor, b"bad", None, 2, waits.append)["quality"] == "error" and waits == [1.0, 2.1]
+
+
+def test_gates_of_discovery(spark):
+    hits = spark.createDataFrame([(0, "q", i, u) for i, u in enumerate(["http://h/thumb/a.jpg", "http://Bad.example/b.jpg", "http://h/c.jpg"])], HITS)
+    none = spark.createDataFrame([], LEDGER)
+    found = lambda c: [r["url"] for r in discovery.discover(hits, none, c).orderBy("discovery_rank").collect()]
+    assert len(found(CONFIG)) == 3 and found(replace(CONFIG, reject_thumbnails=True, blocked_hosts=("bad.example",))) == ["http://h/c.jpg"]
+
+
+def test_expansion_counts(spark):
+    """14 queries, one not ASCII, with 4 extras of which 2 repeat: 174 spellings, 172 distinct. 4 queries: 44."""
+    config, endings = CurationConfig(), ["one", "wallpaper 4k", "cosplay", "fanart", "2d art", "3d render", "key art", "screenshot", "official art", "wallpaper", "nsfw", "sfw", "remake"]
+    base, extras = [f"Subject {x}" for x in endings] + ["主題"], ("Subject two remake", "Subject key art", "Subject portrait", "Subject 3d render")
+    for queries, n in ((base, 172), ([*base[:3], base[-1]], 44)):
+        rows = spark.createDataFrame(list(enumerate(queries)), "base_rank long, query string")
+        assert discovery.expand_queries(rows, config.variant_suffixes, config.filetype_suffixes, extras).count() == n
 
 
 def hamming(a, b):
