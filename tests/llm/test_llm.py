@@ -162,10 +162,28 @@ def test_expressions(text, postfix):
 
 def test_expression_values(none):
     value = lambda t: licenses.evaluate(licenses.parse_expression(t)[1])
-    assert value("MIT OR GPL-2.0") == 1.0 and value("MIT AND GPL-2.0") == 0.5 and value("GPL-2.0 WITH x") == pytest.approx(0.6)
+    assert value("MIT OR GPL-2.0") == 1.0 and value("MIT AND GPL-2.0") == 0.5 and value("GPL-2.0 WITH GCC-exception-3.1") == pytest.approx(0.6) and value("GPL-2.0 WITH x") == 0.5
     assert licenses.scan_licenses(none).collect() == []
 
 
+def test_labels_of_expressions():
+    labels = lambda t: licenses.scan(t, licenses.build_automaton())[5:]
+    tag = "SPDX-License-Identifier"
+    assert labels(f"x\n// {tag}: GPL-2.0-only WITH Classpath-exception-2.0\ny") == ("gpl-2.0-only", "gpl-2.0-only classpath-exception-2.0 with", 0.6)
+    assert labels(f"{tag}: NotALicense OR foo") == ("unknown:foo,unknown:notalicense", "notalicense foo or", 0.3)
+    assert labels(f"{tag} MIT") == ("", "", 0.0) and labels(f"{tag}: MIT\nü {tag}:BSD-3-Clause AND Zlib")[:2] == ("bsd-3-clause,mit,zlib", "mit; bsd-3-clause zlib and")
+
+
+def test_long_expressions_take_time_in_proportion():
+    import time
+
+    automaton = licenses.build_automaton()
+    for text in (" OR ".join(["MIT"] * 100_000), "(" * 100_000 + "MIT" + ")" * 100_000, "SPDX-License-Identifier: MIT\n" * 20_000):
+        began = time.process_time()
+        found = licenses.scan(f"SPDX-License-Identifier: {text}", automaton)
+        assert found[5] == "mit" and time.process_time() - began < 3
+
+
 @pytest.mark.parametrize("text, label, score", [
     ("Licensed under CC BY-NC 4.0.", "cc-by-nc", 0.3), ("CC-BY-NC-ND", "cc-by-nc-nd", 0.1), ("cc by-sa 3.0", "cc-by-sa", 0.6), ("Creative Commons Attribution-NonCommercial-ShareAlike", "cc-by-nc-sa", 0.2), ("CC BY 4.0", "cc-by", 0.9),
     ("under the GNU General Public License, version 3", "gpl-3.0", 0.5), ("GPLv2", "gpl-2.0", 0.5), ("LGPL v2.1", "lgpl-2.1", 0.6),
