@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 import zipfile
 from contextlib import contextmanager
@@ -136,13 +134,6 @@ def cut(df: DataFrame) -> DataFrame:
     return write_table(df, f"{own_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}")
 
 
-def release(spark: SparkSession, seconds: float = 1.0) -> None:
-    """Lets Spark's cleaner delete shuffle files of finished jobs that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(seconds)  # the cleaner works in a thread of its own
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` does not use yet (Spark compares them without case)."""
     used = {c.lower() for c in df.columns}
