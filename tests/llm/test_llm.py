@@ -180,7 +180,7 @@ def test_long_expressions_take_time_in_proportion():
     automaton = licenses.build_automaton()
     for text in (" OR ".join(["MIT"] * 100_000), "(" * 100_000 + "MIT" + ")" * 100_000, "SPDX-License-Identifier: MIT\n" * 20_000):
         began = time.process_time()
-        found = licenses.scan(f"SPDX-License-Identifier: {text}", automaton)
+        found = licenses.scan(text if text.startswith("SPDX") else f"SPDX-License-Identifier: {text}", automaton)
         assert found[5] == "mit" and time.process_time() - began < 3
 
 
