@@ -355,6 +355,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     cell_options = {k: options.pop(k) for k in CELL_OPTIONS if k in options}
     options["targets"] = named(options.get("targets"), not cell_options.get("topic_col"))
     found, names = with_cells(docs, **cell_options)
+    found = cut(found)  # the tokens of a text are counted once
     table = cell_probabilities(found, names, **options)
     keep = fresh(found, "_probability")
     joined = found.join(table.select(*[F.col(k).alias(names[k]) for k in ("source", "lang", "topic")], F.col("probability").alias(keep)), [names[k] for k in ("source", "lang", "topic")])
