@@ -13,7 +13,8 @@ point, so two signatures agree in a slot with a probability that is the weighted
 Jaccard similarity. Points after the last slot's first are never made.
 
 Texts that share a band of slots are candidates. Each is first verified against
-the least text of its bucket. Of buckets in which texts of several components
+the centre of its bucket, the text that meets most others in all its buckets: the
+original of a group of copies meets more of them than they meet each other. Of buckets in which texts of several components
 remain, the texts are then joined by an exact prefix filter: in an order of all
 elements, the rarer first, two texts alike enough share one of their first
 elements, and what follows it suffices. Pairs that the filter can't exclude, of
@@ -232,17 +233,27 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb")).distinct()
 
 
+def centred(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, id, leader) of rows (band, id, n), n texts in a band: it is led by its text that meets most, the least id of them.
+
+    Any leader gives the same classes; one that is linked to most others leaves the fewest to compare.
+    """
+    mates = met.groupBy("id").agg(F.sum("n").alias("mates"))
+    leader = met.join(mates, "id").groupBy("band").agg(F.max_by("id", F.struct("mates", -F.col("id"))).alias("leader"))
+    return met.join(scratch.write(leader, "leaders"), "band").select("band", "id", "leader")
+
+
 def classes(buckets: DataFrame, payload: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(id, comp) of texts that a chain of links joins to another, comp the same for all of a class.
 
-    buckets: (band, id, leader), the least id, of bands with several texts; payload: (id, payload).
+    buckets: (band, id, leader) of bands with several texts, see centred(); payload: (id, payload).
     """
     others = buckets.filter("id <> leader")
     first = others.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.write(verify(with_payloads(first, payload), similarity), "links")
     labels = components(links).withColumnsRenamed({"node": "id", "component": "comp"})
 
-    # what remains: buckets whose other texts, all verified against the least, are of several components
+    # what remains: buckets whose other texts, all verified against the leader, are of several components
     labelled = scratch.write(others.join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp")), "labelled")
     mixed = scratch.write(labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band"), "mixed")
     rows = scratch.write(labelled.join(mixed, "band").select("id", "comp").distinct().join(payload, "id"), "rows")
@@ -265,8 +276,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         nodes = signed.groupBy("node").agg(F.min(F.struct("kid", "tid")).alias("first"), F.any_value("bands").alias("bands"))
         nodes = scratch.write(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
         flat = nodes.select("id", F.explode("bands").alias("band"))
-        shared = scratch.write(flat.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").select("band", "leader"), "shared")
-        buckets = scratch.write(flat.join(shared, "band").select("band", "id", "leader"), "buckets")
+        shared = scratch.write(flat.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+        met = scratch.write(flat.join(shared, "band").select("band", "id", "n"), "met")
+        buckets = scratch.write(centred(met, scratch), "buckets")
         wanted = scratch.write(buckets.select("id").distinct().join(nodes, "id").select("id", "first.kid", "first.tid"), "wanted")
         found = texts.join(wanted.hint("shuffle_hash"), ["kid", "tid"]).dropDuplicates(["kid", "tid"])
         payload = scratch.write(payloads(found.select("id", "text")), "payloads")
