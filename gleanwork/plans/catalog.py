@@ -132,7 +132,11 @@ SELECT doc_id, lang FROM h SEMI JOIN (SELECT sha FROM h JOIN labels USING (doc_i
 def history_semi(read):
     docs = read("documents").select(F.col("doc_id").alias("discovery_rank"), "lang", hashing.sha256_hex(F.col("text")).alias("sha256"))
     past = docs.join(read("labels"), F.col("discovery_rank") == F.col("doc_id")).select("sha256", F.lit("other").alias("category"), F.lit("m").alias("model_name"))
-    known = decide.mark_copies(docs.dropDuplicates(["sha256"]), past).filter("is_copy").select("sha256")
+    # each hash once, by its least id: a row picked for it could be another when Spark computes the rows again. The hash
+    # in the rank tells null or repeated ids apart, and rows by rank are dealt anew for the last join, which Spark can split
+    least = docs.groupBy("sha256").agg(F.min("discovery_rank").alias("least"))
+    once = least.select("sha256", F.struct("least", "sha256").alias("discovery_rank"))
+    known = decide.mark_copies(once, past).filter("is_copy").select("sha256")
     return docs.join(known, "sha256").select(F.col("discovery_rank").alias("doc_id"), "lang")
 
 

@@ -1,9 +1,11 @@
 """Every query of the catalog against its SQL, over the driver's smallest tables."""
 
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gleanwork.plans import catalog
 
@@ -45,6 +47,24 @@ def test_insert_or_ignore_meets_whole_tables(spark):
     assert got == set(first[~first["text"].isin(known)]["doc_id"]) and len(got) > 400 and len(known) > 50
 
 
+@pytest.mark.parametrize("odd, n", [(False, 30), (True, 45)])
+def test_history_semi_picks_no_row(spark, tmp_path, odd, n):
+    """Rows come in another order each time they are read, as a shuffle between executors brings them; odd: null and repeated ids, null text."""
+    docs = [(i, f"t{i % 100}", "en") for i in range(1000)]
+    docs += [(None, "t0", "de"), (None, "alone", "de"), (7, "t8", "fr"), (8, None, "fr"), (11, "t10", "fr"), (1001, "", "en"), (1002, "", "de")] * odd
+    labels = [(i, 1, 0) for i in [300, 7, 910] + [7, 1002, 5000, None] * odd]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.ORACLES["history_semi"]).fetchall(), key=repr)
+    chance = F.expr("reflect('java.lang.Math', 'random')")
+    shuffled = SimpleNamespace(sparkContext=spark.sparkContext, conf=spark.conf, read=SimpleNamespace(parquet=lambda path: spark.read.parquet(path).sortWithinPartitions(chance)))
+    got = catalog.QUERIES["history_semi"](shuffled, str(tmp_path)).select("doc_id", "lang").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == want and len(want) == n
+
+
 def test_every_query_is_registered():
     import __spark_entry__
 
